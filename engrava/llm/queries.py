@@ -1,0 +1,41 @@
+"""Registered queries of this subpackage, over whole tables and with production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from engrava.llm.leakage import leaks
+from engrava.llm.shared_spans import shared_share, shared_spans
+from engrava.session import table
+
+#: An aligned pair counts as an edited copy from this share of the best possible score.
+EDITED_SHARE = 0.6
+
+
+def p9_found(spark, d):
+    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.filter("longest_run >= 12").select("doc_id", "item_id")
+
+
+def p9_leaked_items(spark, d):
+    """Per leaked item: documents with a whole passage, and with an edited copy."""
+    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    share = F.col("score") / (2 * F.col("item_words"))
+    return (
+        found.withColumn("exact", F.col("longest_run") >= 12)
+        .withColumn("edited", ~F.col("exact") & (share >= EDITED_SHARE))
+        .filter("exact or edited")
+        .groupBy("item_id")
+        .agg(F.count_if("exact").alias("n_exact"), F.count_if("edited").alias("n_edited"), F.max(share).alias("best_share"))
+    )
+
+
+def p10_found(spark, d):
+    return shared_spans(table(spark, d, "documents"))
+
+
+def p10_shared_share(spark, d):
+    return shared_share(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p9_found, p9_leaked_items, p10_found, p10_shared_share)}
