@@ -13,7 +13,41 @@ spans AS (SELECT doc_id, CAST(min(p) AS INT) AS start_pos, CAST(max(p) + 300 AS
 #: Python's letters and digits, as RE2 classes.
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
+#: One row per memory with 64 finite numbers, not all zero, scaled to unit length.
+_UNIT = """
+WITH raw AS (SELECT mem_id, any_value(tenant) AS tenant, any_value(CAST(vec AS DOUBLE[])) AS v FROM memories WHERE mem_id IS NOT NULL AND len(vec) = 64 GROUP BY mem_id),
+good AS (SELECT mem_id, tenant, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM raw
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+unit AS (SELECT mem_id, tenant, CAST(list_transform(v, lambda x: x / n) AS DOUBLE[64]) AS u FROM good)
+"""
+
+_NEAREST = _UNIT + """,
+pairs AS (SELECT a.mem_id AS id, b.mem_id AS neighbour, array_inner_product(a.u, b.u) AS cosine FROM unit a JOIN unit b ON a.tenant = b.tenant AND a.mem_id <> b.mem_id),
+best AS (SELECT id, neighbour, cosine FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, neighbour) <= 5)
+"""
+
+_SHINGLES = """
+WITH m AS (SELECT mem_id, any_value(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM memories WHERE mem_id IS NOT NULL AND text IS NOT NULL GROUP BY mem_id),
+s AS (SELECT DISTINCT mem_id, array_to_string(w[k + 1:k + 3], ' ') AS g FROM (SELECT mem_id, w, unnest(range(greatest(len(w) - 2, 0))) AS k FROM m)),
+n AS (SELECT mem_id, count(*) AS n FROM s GROUP BY mem_id),
+c AS (SELECT a.mem_id AS a, b.mem_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.mem_id < b.mem_id GROUP BY ALL)
+SELECT a AS mem_id_a, b AS mem_id_b FROM c JOIN n x ON x.mem_id = a JOIN n y ON y.mem_id = b WHERE common >= 0.6 * (x.n + y.n - common) - 1e-9
+"""
+
 ORACLES = {
+    "p5_found": _UNIT + """,
+links AS (SELECT a.mem_id AS a, b.mem_id AS b FROM unit a JOIN unit b ON a.mem_id <> b.mem_id AND array_inner_product(a.u, b.u) >= 0.70),
+r1 AS (SELECT u.mem_id, least(u.mem_id, coalesce(min(b), u.mem_id)) AS c FROM unit u LEFT JOIN links ON a = u.mem_id GROUP BY u.mem_id),
+r2 AS (SELECT x.mem_id, least(x.c, coalesce(min(y.c), x.c)) AS c FROM r1 x LEFT JOIN links ON a = x.mem_id LEFT JOIN r1 y ON y.mem_id = b GROUP BY x.mem_id, x.c),
+r3 AS (SELECT x.mem_id, least(x.c, coalesce(min(y.c), x.c)) AS c FROM r2 x LEFT JOIN links ON a = x.mem_id LEFT JOIN r2 y ON y.mem_id = b GROUP BY x.mem_id, x.c),
+r4 AS (SELECT x.mem_id, least(x.c, coalesce(min(y.c), x.c)) AS c FROM r3 x LEFT JOIN links ON a = x.mem_id LEFT JOIN r3 y ON y.mem_id = b GROUP BY x.mem_id, x.c),
+big AS (SELECT mem_id, c FROM r4 QUALIFY count(*) OVER (PARTITION BY c) >= 8),
+tags AS (SELECT DISTINCT mem_id, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS tag FROM (SELECT mem_id, unnest(tags) AS t FROM memories) WHERE trim(t) <> ''),
+top AS (SELECT c, tag FROM (SELECT c, tag, count(*) AS n FROM tags JOIN big USING (mem_id) GROUP BY c, tag) QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, tag) = 1)
+SELECT coalesce(tag, '') AS cluster_label, mem_id FROM big LEFT JOIN top USING (c)""",
+    "p6_found": _SHINGLES,
+    "p7_found": _NEAREST + "SELECT DISTINCT least(id, neighbour) AS mem_id_a, greatest(id, neighbour) AS mem_id_b FROM best",
+    "p7_neighbours": _NEAREST + "SELECT id AS mem_id, neighbour, round(cosine, 6) AS cosine FROM best",
     "p9_found": f"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 11, 0))) AS k FROM i)),

@@ -4,14 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from engrava.llm.clusters import labelled_clusters
 from engrava.llm.leakage import leaks
+from engrava.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from engrava.llm.posting_lists import nearest_neighbours
 from engrava.llm.shared_spans import shared_share, shared_spans
+from engrava.llm.vectors import usable_vectors
 from engrava.session import table
 
 #: An aligned pair counts as an edited copy from this share of the best possible score.
 EDITED_SHARE = 0.6
 
 
+def p5_found(spark, d):
+    members, _ = labelled_clusters(table(spark, d, "memories"))
+    return members.select("cluster_label", F.col("id").alias("mem_id"))
+
+
+def p5_profiles(spark, d):
+    """Size, label and most typical members of each cluster."""
+    _, profiles = labelled_clusters(table(spark, d, "memories"))
+    return profiles.select("cluster", "cluster_label", "size", "typical")
+
+
+def p6_found(spark, d):
+    pairs = near_duplicate_pairs(table(spark, d, "memories"), 0.6, 3, "mem_id", "text")
+    return pairs.toDF("mem_id_a", "mem_id_b")
+
+
+def p6_groups(spark, d):
+    """Class, copies, links and group of each memory at five words and a similarity of 0.8."""
+    return near_duplicate_groups(table(spark, d, "memories"), 0.8, 5, "mem_id", "text").withColumnRenamed("id", "mem_id")
+
+
+def p7_found(spark, d):
+    near = nearest_neighbours(usable_vectors(table(spark, d, "memories"), "mem_id", "vec", "tenant"), 5)
+    return near.select(F.least("id", "neighbour").alias("mem_id_a"), F.greatest("id", "neighbour").alias("mem_id_b")).distinct()
+
+
+def p7_neighbours(spark, d):
+    """The five most similar memories of the same tenant, with their cosine, for every usable memory."""
+    near = nearest_neighbours(usable_vectors(table(spark, d, "memories"), "mem_id", "vec", "tenant"), 5)
+    return near.select(F.col("id").alias("mem_id"), "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
 def p9_found(spark, d):
     found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.filter("longest_run >= 12").select("doc_id", "item_id")
@@ -38,4 +74,4 @@ def p10_shared_share(spark, d):
     return shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_leaked_items, p10_found, p10_shared_share)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_profiles, p6_found, p6_groups, p7_found, p7_neighbours, p9_found, p9_leaked_items, p10_found, p10_shared_share)}
