@@ -34,7 +34,30 @@ c AS (SELECT a.mem_id AS a, b.mem_id AS b, count(*) AS common FROM s a JOIN s b
 SELECT a AS mem_id_a, b AS mem_id_b FROM c JOIN n x ON x.mem_id = a JOIN n y ON y.mem_id = b WHERE common >= 0.6 * (x.n + y.n - common) - 1e-9
 """
 
+_CHAINS = """
+WITH r AS (SELECT DISTINCT tenant, item_id AS item, ts_ns AS t, seq AS s FROM access_log WHERE item_id IS NOT NULL),
+least_n AS (SELECT 0.1 * count(DISTINCT tenant) - 1e-9 AS n FROM r),
+c1 AS (SELECT item, count(DISTINCT tenant) AS support FROM r GROUP BY item HAVING support >= (SELECT n FROM least_n)),
+f AS (SELECT r.* FROM r JOIN c1 USING (item)),
+st AS (SELECT x.tenant, x.item AS a, x.t AS ta, x.s AS sa, y.item AS b, y.t AS tb, y.s AS sb
+  FROM f x JOIN f y ON x.tenant = y.tenant AND y.t >= x.t AND y.t <= x.t + 60000000000 AND (y.t > x.t OR y.s > x.s) AND x.item <> y.item),
+c2 AS (SELECT a, b, count(DISTINCT tenant) AS support FROM st GROUP BY a, b HAVING support >= (SELECT n FROM least_n)),
+st2 AS (SELECT st.* FROM st JOIN c2 USING (a, b)),
+l2 AS (SELECT [a, b] AS p, tenant, b AS item, tb AS t, sb AS s FROM st2)"""
+for _n in range(3, 9):
+    _CHAINS += f""",
+l{_n} AS (SELECT DISTINCT list_append(l.p, st2.b) AS p, l.tenant, st2.b AS item, tb AS t, sb AS s FROM l{_n - 1} l {"JOIN c" + str(_n - 1) + " c ON c.p = l.p" if _n > 3 else ""}
+  JOIN st2 ON st2.tenant = l.tenant AND st2.a = l.item AND st2.ta = l.t AND st2.sa = l.s WHERE NOT list_contains(l.p, st2.b)),
+c{_n} AS (SELECT p, count(DISTINCT tenant) AS support FROM l{_n} GROUP BY p HAVING support >= (SELECT n FROM least_n))"""
+_CHAINS += """,
+chains AS (SELECT p, support FROM c3 UNION ALL SELECT p, support FROM c4 UNION ALL SELECT p, support FROM c5 UNION ALL SELECT p, support FROM c6 UNION ALL SELECT p, support FROM c7 UNION ALL SELECT p, support FROM c8)
+"""
+
 ORACLES = {
+    "p1_found": _CHAINS + "SELECT array_to_string(p, '>') AS pattern FROM chains",
+    "p1_support": _CHAINS
+    + """SELECT array_to_string(p, '>') AS pattern, CAST(len(p) AS INTEGER) AS n_items, support FROM
+(SELECT [item] AS p, support FROM c1 UNION ALL SELECT [a, b], support FROM c2 UNION ALL SELECT p, support FROM chains)""",
     "p5_found": _UNIT + """,
 links AS (SELECT a.mem_id AS a, b.mem_id AS b FROM unit a JOIN unit b ON a.mem_id <> b.mem_id AND array_inner_product(a.u, b.u) >= 0.70),
 r1 AS (SELECT u.mem_id, least(u.mem_id, coalesce(min(b), u.mem_id)) AS c FROM unit u LEFT JOIN links ON a = u.mem_id GROUP BY u.mem_id),

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from engrava.llm.clusters import labelled_clusters
 from engrava.llm.leakage import leaks
 from engrava.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from engrava.llm.packing import containers
+from engrava.llm.patterns import frequent_chains
+from engrava.llm.personal import find_personal, redact_personal
 from engrava.llm.posting_lists import nearest_neighbours
 from engrava.llm.shared_spans import shared_share, shared_spans
 from engrava.llm.vectors import usable_vectors
@@ -16,6 +19,34 @@ from engrava.session import table
 EDITED_SHARE = 0.6
 
 
+#: Key of the pseudonyms in the registered query; a deployment passes its own.
+DEMO_KEY = b"registered-query-key"
+
+
+def p1_found(spark, d):
+    chains = frequent_chains(table(spark, d, "access_log"), 0.10, 3)
+    return chains.select(F.array_join(F.transform("pattern", lambda x: x.cast("string")), ">").alias("pattern"))
+
+
+def p1_support(spark, d):
+    """Every frequent chain of one or more items with the number of tenants that follow it."""
+    chains = frequent_chains(table(spark, d, "access_log"), 0.10, 1)
+    return chains.select(F.array_join(F.transform("pattern", lambda x: x.cast("string")), ">").alias("pattern"), F.size("pattern").alias("n_items"), "support")
+
+
+def _texts(spark, d):
+    return table(spark, d, "memories").select("seq", "text").unionByName(table(spark, d, "messages").select("seq", "text"))
+
+
+def p4_found(spark, d):
+    return find_personal(_texts(spark, d), table(spark, d, "people")).withColumnRenamed("id", "seq")
+
+
+def p4_redacted(spark, d):
+    """Each record once, with typed pseudonyms in place of what was found."""
+    return redact_personal(_texts(spark, d), table(spark, d, "people"), DEMO_KEY).withColumnRenamed("id", "seq").distinct()
+
+
 def p5_found(spark, d):
     members, _ = labelled_clusters(table(spark, d, "memories"))
     return members.select("cluster_label", F.col("id").alias("mem_id"))
@@ -48,6 +79,16 @@ def p7_neighbours(spark, d):
     return near.select(F.col("id").alias("mem_id"), "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
+def p8_containers(spark, d):
+    return containers(table(spark, d, "documents"), 2048)
+
+
+def p8_fill(spark, d):
+    """How full the containers are, by tenth of their capacity."""
+    full = containers(table(spark, d, "documents"), 2048)
+    return full.groupBy(F.floor(F.col("fill") * 10 / 2048).cast("int").alias("tenth")).agg(F.count("*").alias("n_containers"), F.sum("fill").alias("n_tokens"))
+
+
 def p9_found(spark, d):
     found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.filter("longest_run >= 12").select("doc_id", "item_id")
@@ -74,4 +115,4 @@ def p10_shared_share(spark, d):
     return shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_profiles, p6_found, p6_groups, p7_found, p7_neighbours, p9_found, p9_leaked_items, p10_found, p10_shared_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p4_found, p4_redacted, p5_found, p5_profiles, p6_found, p6_groups, p7_found, p7_neighbours, p8_containers, p8_fill, p9_found, p9_leaked_items, p10_found, p10_shared_share)}
