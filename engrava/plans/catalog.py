@@ -1,4 +1,11 @@
 """Every registered query of the core, with its SQL equivalent."""
 
+from engrava.plans import general
+
+_MODULES = (general,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in _MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
