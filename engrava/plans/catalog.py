@@ -1,8 +1,8 @@
 """Every registered query of the core, with its SQL equivalent."""
 
-from engrava.plans import general
+from engrava.plans import general, vector_queries
 
-_MODULES = (general,)
+_MODULES = (general, vector_queries)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
