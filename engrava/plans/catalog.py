@@ -1,8 +1,8 @@
 """Every registered query of the core, with its SQL equivalent."""
 
-from engrava.plans import general, vector_queries
+from engrava.plans import access_queries, general, state_queries, vector_queries
 
-_MODULES = (general, vector_queries)
+_MODULES = (general, vector_queries, state_queries, access_queries)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
