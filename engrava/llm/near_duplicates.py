@@ -2,15 +2,16 @@
 
 A similarity of at least t bounds the Hamming distance of the two shingle sets by
 (1 - t) / (1 + t) of the sum of their sizes. Candidates share one of their rarest
-shingles (rarity by a count table of fixed size over all texts; any order common to all
-texts is exact, a good one is fast). They are then pruned by pigeonring: the shingles are
-dealt to a ring of 16 segments, each folded to 16 parity bits, so that the bits by which
-two segments differ never exceed their true difference; somewhere on the ring a chain of
-consecutive segments must stay within its proportional share of the distance budget at
-each of its steps, or the pair cannot be near. Survivors are checked by full Hamming
-distance of their shingle sets.
-
-Texts with equal shingle sets form one class and are compared once. Texts of fewer words
+shingles (rarity by a count table over all texts, of bounded size; any order common to all
+texts is exact, a good one is fast; shingles the table shows to be unique join nothing and
+are not sent), at a place early enough in both for the wanted overlap. They are pruned
+where they meet, by pigeonring: the shingles are dealt to a ring of four segments, each
+folded to 64 parity bits, so that the bits by which two segments differ never exceed their
+true difference; somewhere on the ring a chain of consecutive segments must stay within
+its proportional share of the distance budget at each of its steps, or the pair cannot be
+near. Survivors are checked by full Hamming distance of their shingle sets.
+
+Texts with equal shingle sets form one class, named by its least id, and are compared once. Texts of fewer words
 than a shingle, null and empty texts have no shingles and are near to nothing. Null ids
 are left out. An id that occurs again counts once, with its least class. Other columns
 are ignored.
@@ -29,46 +30,66 @@ from engrava.llm import textkernel as k
 from engrava.llm.arrow import batches, signed, texts_of
 from engrava.session import materialize
 
-#: Entries of the shingle count table: fixed, whatever the data; 4 MB where it is sent.
-TABLE_BITS = 20
-SEGMENTS, SEGMENT_BITS, CHAIN = 16, 16, 4
+#: Entries of the shingle count table, one byte each: twice the shingles counted, in these bounds.
+TABLE_BITS = (20, 24)
+BLOCKS = 256
+SEGMENTS = 4
 
 
 def _spread(x: np.ndarray, starts: np.ndarray, op) -> np.ndarray:
     return op.reduceat(x, starts) if len(starts) else x[:0]
 
 
+def _sets_of(texts: list[str], words: int):
+    """Sorted shingles of all texts, and of each text with any: its row, first shingle, their number and its key."""
+    found = k.Words(texts)
+    grams, at = found.grams(words)
+    doc = found.text[at]
+    order = np.lexsort((grams, doc))
+    grams, doc = grams[order], doc[order]
+    fresh = np.ones(len(grams), bool)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
+    grams, doc = grams[fresh], doc[fresh]
+    some, first, counts = np.unique(doc, return_index=True, return_counts=True)
+    key = k.mix(_spread(k.mix(grams), first, np.add) ^ (_spread(grams, first, np.bitwise_xor) * np.uint64(3)))
+    return grams, some, counts, key
+
+
+def _keys(words: int):
+    """(id, key of the shingle set) of each text with shingles."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
+            for lo, hi in k.chunks(texts):
+                _, some, counts, key = _sets_of(texts[lo:hi], words)
+                yield from batches(schema, ids[lo:hi][some], signed(key), counts.astype(np.int32))
+
+    return run
+
+
 def _shingle_sets(words: int):
-    """(id, class key, size, sorted shingles, ring of parity bits) of each text."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary()), ("ring", pa.binary())])
+    """(id, size, sorted shingles, ring of parity bits) of each text."""
+    rings = [(f"r{i}", pa.int64()) for i in range(SEGMENTS)]
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary()), *rings])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
             for lo, hi in k.chunks(texts):
-                found = k.Words(texts[lo:hi])
-                grams, at = found.grams(words)
-                doc = found.text[at]
-                order = np.lexsort((grams, doc))
-                grams, doc = grams[order], doc[order]
-                fresh = np.ones(len(grams), bool)
-                fresh[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-                grams, doc = grams[fresh], doc[fresh]
-                some, first, counts = np.unique(doc, return_index=True, return_counts=True)
-                if not len(some):
-                    continue
-                key = k.mix(_spread(k.mix(grams), first, np.add) ^ (_spread(grams, first, np.bitwise_xor) * np.uint64(3)))
-                ring = np.zeros((len(some), SEGMENTS), np.uint16)
-                bit = np.uint16(1) << ((grams >> np.uint64(20)) & np.uint64(SEGMENT_BITS - 1)).astype(np.uint16)
-                np.bitwise_xor.at(ring, (np.repeat(np.arange(len(some)), counts), ((grams >> np.uint64(30)) & np.uint64(SEGMENTS - 1)).astype(np.int64)), bit)
+                grams, some, counts, _ = _sets_of(texts[lo:hi], words)
+                ring = np.zeros((len(some), SEGMENTS), np.uint64)
+                bit = np.uint64(1) << ((grams >> np.uint64(20)) & np.uint64(63))
+                segment = ((grams >> np.uint64(30)) & np.uint64(SEGMENTS - 1)).astype(np.int64)
+                np.bitwise_xor.at(ring, (np.repeat(np.arange(len(some)), counts), segment), bit)
                 raw, last = grams.tobytes(), np.cumsum(counts)
                 yield from batches(
                     schema,
                     ids[lo:hi][some],
-                    signed(key),
                     counts.astype(np.int32),
                     pa.array([raw[8 * (b - c) : 8 * b] for b, c in zip(last.tolist(), counts.tolist(), strict=True)], pa.binary()),
-                    pa.array([r.tobytes() for r in ring], pa.binary()),
+                    *(signed(ring[:, i].copy()) for i in range(SEGMENTS)),
                 )
 
     return run
@@ -81,79 +102,100 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint64), np.repeat(np.arange(len(parts)), sizes)
 
 
-def _counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's part of the count table, in 64 blocks."""
-    table = np.zeros(1 << TABLE_BITS, np.int64)
+def _gathered(stream: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[np.ndarray]:
+    """The shingles of a stream, in parts of bounded size."""
+    parts, size = [], 0
     for batch in stream:
-        shingles, _ = _flat(batch.column(0))
-        table += np.bincount(shingles >> np.uint64(64 - TABLE_BITS), minlength=len(table))
-    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-    parts = table.astype(np.int32).reshape(64, -1)
-    yield from batches(schema, np.arange(64, dtype=np.int32), pa.array([p.tobytes() for p in parts], pa.binary()))
-
-
-def _add_blocks(stream):
-    import pandas as pd
-
-    total: dict = {}
-    for frame in stream:
-        for block, counts in zip(frame["block"], frame["counts"], strict=True):
-            part = np.frombuffer(counts, np.int32).astype(np.int64)
-            total[block] = total[block] + part if block in total else part
-    rows = sorted(total.items())
-    yield pd.DataFrame({"block": [b for b, _ in rows], "ranks": [(np.log2(np.maximum(t, 1)) * 8).astype(np.uint8).tobytes() for _, t in rows]})
+        parts.append(_flat(batch.column(0))[0])
+        size += len(parts[-1])
+        if size >= most:
+            yield np.concatenate(parts)
+            parts, size = [], 0
+    if size:
+        yield np.concatenate(parts)
 
 
-def _prefixes(similarity: float, ranks):
-    """The rarest shingles of each set: enough that two sets of the wanted similarity share one."""
-    schema = pa.schema([("shingle", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
+def _counts(bits: int):
+    """Counts by table entry, summed over parts of a task, entries ascending within a block."""
+    schema = pa.schema([("block", pa.int32()), ("entries", pa.binary()), ("counts", pa.binary())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(ranks.value, np.uint8)
-        for batch in stream:
-            keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shingles, row = _flat(batch.column(2))
-            order = np.lexsort((shingles, rank[shingles >> np.uint64(64 - TABLE_BITS)], row))
-            shingles, row = shingles[order], row[order]
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-            keep = np.arange(len(row)) - first[row] < take[row]
-            yield from batches(schema, signed(shingles[keep]), keys[row[keep]], n[row[keep]])
+        size = (1 << bits) // BLOCKS
+        for shingles in _gathered(stream):
+            entry, count = np.unique(shingles >> np.uint64(64 - bits), return_counts=True)
+            cut = np.searchsorted(entry, np.arange(BLOCKS + 1, dtype=np.uint64) * np.uint64(size))
+            here = np.flatnonzero(np.diff(cut))
+            step = (entry % np.uint64(size)).astype(np.int64)
+            step[1:] = np.where(np.diff(step) < 0, step[1:], np.diff(step))  # small numbers, which compress well
+            yield from batches(
+                schema,
+                here.astype(np.int32),
+                pa.array([step[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in here], pa.binary()),
+                pa.array([count[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in here], pa.binary()),
+            )
 
     return run
 
 
-def pigeonring(a: np.ndarray, b: np.ndarray, budget: np.ndarray) -> np.ndarray:
-    """Which pairs of rings may differ by at most ``budget``.
+def _ranks(bits: int):
+    """Whole blocks of the table: 0 for none, 1 for exactly one, then a logarithm of the count."""
 
-    Exact as a lower bound: if all segments' differences sum to at most the budget, some
-    start on the ring keeps every prefix of its chain within a proportional share of it.
-    """
-    apart = np.bitwise_count(a ^ b).astype(np.float64)
-    share = budget[:, None] / SEGMENTS + 1e-9
-    chain = np.zeros_like(apart)
-    fine = np.ones(apart.shape, bool)
-    for step in range(CHAIN):
-        chain += np.roll(apart, -step, axis=1)
-        fine &= chain <= share * (step + 1)
-    return fine.any(1) & (apart.sum(1) <= budget + 1e-9)
+    def run(stream):
+        import pandas as pd
+
+        size, total = (1 << bits) // BLOCKS, {}
+        for frame in stream:
+            for block, entries, counts in zip(frame["block"], frame["entries"], frame["counts"], strict=True):
+                table = total.setdefault(block, np.zeros(size, np.int64))
+                table[np.cumsum(np.frombuffer(entries, np.uint32), dtype=np.int64)] += np.frombuffer(counts, np.uint32)
+        ranks = [np.where(t < 2, t, 2 + (np.log2(np.maximum(t, 1)) * 6)).astype(np.uint8).tobytes() for t in total.values()]
+        yield pd.DataFrame({"block": list(total), "ranks": ranks})
+
+    return run
 
 
-def _ring_filter(similarity: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _prefixes(similarity: float, ranks, bits: int):
+    """The rarest shingles of each set, enough that two sets of the wanted similarity share one, without unique ones."""
+    rings = [(f"r{i}", pa.int64()) for i in range(SEGMENTS)]
+    schema = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("left", pa.int32()), *rings])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(ranks.value, np.uint8)
         for batch in stream:
-            if not batch.num_rows:
-                continue
-            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SEGMENTS) for i in (4, 5))
-            near = pigeonring(ra, rb, (1 - similarity) / (1 + similarity) * (na + nb))
-            yield from batches(schema, a[near], b[near])
+            ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            shingles, row = _flat(batch.column(2))
+            rank = table[shingles >> np.uint64(64 - bits)]
+            order = np.lexsort((shingles, rank, row))
+            shingles, row, rank = shingles[order], row[order], rank[order]
+            first = np.cumsum(n) - n
+            take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+            place = np.arange(len(row)) - first[row]
+            keep = (place < take[row]) & (rank > 1)
+            row, place = row[keep], place[keep]
+            rings = [batch.column(3 + i).to_numpy()[row] for i in range(SEGMENTS)]
+            yield from batches(schema, signed(shingles[keep]), ids[row], n[row], (n[row] - place).astype(np.int32), *rings)
 
     return run
 
 
+def pigeonring(apart: list, budget):
+    """Whether the segments' differences allow a distance of at most ``budget``, as a condition on columns.
+
+    If all differences sum to at most the budget, some start on the ring keeps every prefix
+    of its chain within a proportional share of it; so the condition loses no near pair.
+    """
+    m, starts = len(apart), None
+    for start in range(m):
+        chain, fine = None, None
+        for step in range(m):
+            part = apart[(start + step) % m]
+            chain = part if chain is None else chain + part
+            within = chain <= budget * ((step + 1) / m) + 1e-9
+            fine = within if fine is None else fine & within
+        starts = fine if starts is None else starts | fine
+    return starts
+
+
 def _checked(similarity: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
@@ -180,7 +222,7 @@ def near_duplicate_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the near pairs between classes.
 
-    Returns ``members`` (id, key) and ``links`` (a, b, similarity) with a < b over keys.
+    Returns ``members`` (id, class_id) and ``links`` (a, b, similarity) with a < b over class ids.
     """
     if not 0 < similarity <= 1 or words < 1:
         raise ValueError("need 0 < similarity <= 1 and words >= 1")
@@ -188,54 +230,60 @@ def near_duplicate_classes(
     texts = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & (F.length("text") > 0)
     )
-    sets = materialize(texts.mapInArrow(_shingle_sets(words), "id long, key long, n int, shingles binary, ring binary"), "shingles")
-    members = sets.groupBy("id").agg(F.min("key").alias("key"))
-    # One record stands for each class; which one does not matter, as their sets are equal.
-    first = sets.groupBy("key").agg(F.min("id").alias("id"))
-    classes = materialize(sets.join(first, ["key", "id"], "left_semi").dropDuplicates(["key"]), "classes")
+    keys = materialize(texts.mapInArrow(_keys(words), "id long, key long, n int"), "keys")
+    own = keys.groupBy("id").agg(F.min_by("n", "key").alias("n"), F.min("key").alias("key"))
+    first = own.groupBy("key").agg(F.min("id").alias("class_id"))
+    members = materialize(own.join(first, "key").select("id", "class_id", "key", "n"), "members")
+    reps = members.filter("id = class_id").select("id", "key")
+    # A repeated id may have other texts; the one with its key stands for it.
+    chosen = texts.join(reps.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    classes = materialize(chosen.mapInArrow(_shingle_sets(words), "id long, n int, shingles binary" + "".join(f", r{i} long" for i in range(SEGMENTS))), "classes")
+    total = classes.agg(F.sum("n")).collect()[0][0] or 0
+    bits = min(max(int(total).bit_length() + 1, TABLE_BITS[0]), TABLE_BITS[1])
     blocks = (
         classes.select("shingles")
-        .mapInArrow(_counts, "block int, counts binary")
-        .repartition(16, "block")
-        .mapInPandas(_add_blocks, "block int, ranks binary")
+        .mapInArrow(_counts(bits), "block int, entries binary, counts binary")
+        .repartition(32, "block")
+        .mapInPandas(_ranks(bits), "block int, ranks binary")
     )
-    table = bytearray(1 << TABLE_BITS)
-    for row in blocks.collect():  # 64 rows of 16 KB, however many texts there are
-        size = (1 << TABLE_BITS) // 64
+    table, size = bytearray(1 << bits), (1 << bits) // BLOCKS
+    for row in blocks.toLocalIterator():  # a table of bounded size, however many texts there are
         table[row["block"] * size : (row["block"] + 1) * size] = row["ranks"]
     ranks = spark.sparkContext.broadcast(bytes(table))
-    prefixes = classes.select("key", "n", "shingles").mapInArrow(_prefixes(similarity, ranks), "shingle long, key long, n int")
-    left = prefixes.select("shingle", F.col("key").alias("a"), F.col("n").alias("na"))
-    right = prefixes.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"))
-    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)) & (F.col("a") < F.col("b"))
-    candidates = left.join(right, "shingle").filter(fits).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    ring = classes.select("key", "ring")
-    pruned = (
-        candidates.join(ring.toDF("a", "ra"), "a")
-        .join(ring.toDF("b", "rb"), "b")
-        .select("a", "b", "na", "nb", "ra", "rb")
-        .mapInArrow(_ring_filter(similarity), "a long, b long")
+    rings = [f"r{i}" for i in range(SEGMENTS)]
+    kinds = "shingle long, id long, n int, left int" + "".join(f", {r} long" for r in rings)
+    prefixes = classes.select("id", "n", "shingles", *rings).mapInArrow(_prefixes(similarity, ranks, bits), kinds)
+    a, b = prefixes.alias("x"), prefixes.alias("y")
+    total, least = F.col("x.n") + F.col("y.n"), F.least("x.n", "y.n")
+    fits = (
+        (F.col("x.id") < F.col("y.id"))
+        & (least >= F.greatest("x.n", "y.n") * F.lit(similarity - 1e-9))
+        # From their first common shingle on, the sets must hold enough for the wanted overlap.
+        & (F.least("x.left", "y.left") >= total * F.lit(similarity / (1 + similarity)) - 1e-9)
+        & pigeonring([F.bit_count(F.col(f"x.{r}").bitwiseXOR(F.col(f"y.{r}"))) for r in rings], total * F.lit((1 - similarity) / (1 + similarity)))
     )
-    content = classes.select("key", "shingles")
+    pruned = a.join(b, (F.col("x.shingle") == F.col("y.shingle")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pruned = materialize(pruned, "pruned")
+    needed = pruned.select("a").union(pruned.select("b")).toDF("id").distinct()
+    content = classes.select("id", "shingles").join(needed, "id", "left_semi")
     links = (
         pruned.join(content.toDF("a", "sa"), "a")
         .join(content.toDF("b", "sb"), "b")
         .select("a", "b", "sa", "sb")
         .mapInArrow(_checked(similarity), "a long, b long, similarity double")
     )
-    return members, links
+    return members.select("id", "class_id"), links
 
 
 def near_duplicate_pairs(records: DataFrame, similarity: float, words: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id_a, id_b), smaller first, of all records whose texts are near, copies included."""
     members, links = near_duplicate_classes(records, similarity, words, id_col, text_col)
     links = materialize(links, "links")
-    members = materialize(members, "members")
-    across = links.join(members.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(
-        members.select(F.col("key").alias("b"), F.col("id").alias("y")), "b"
+    across = links.join(members.select(F.col("class_id").alias("a"), F.col("id").alias("x")), "a").join(
+        members.select(F.col("class_id").alias("b"), F.col("id").alias("y")), "b"
     )
     across = across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    copies = members.toDF("id_a", "key").join(members.toDF("id_b", "key"), "key").filter("id_a < id_b").select("id_a", "id_b")
+    copies = members.toDF("id_a", "class_id").join(members.toDF("id_b", "class_id"), "class_id").filter("id_a < id_b").select("id_a", "id_b")
     return across.unionByName(copies)
 
 
@@ -248,18 +296,12 @@ def near_duplicate_groups(records: DataFrame, similarity: float = 0.8, words: in
     from engrava.llm.components import connected_components
 
     members, links = near_duplicate_classes(records, similarity, words, id_col, text_col)
-    members = materialize(members, "members")
-    classes = materialize(members.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies")), "class-ids")
-    named = (
-        links.join(classes.select(F.col("key").alias("a"), F.col("class_id").alias("src")), "a")
-        .join(classes.select(F.col("key").alias("b"), F.col("class_id").alias("dst")), "b")
-        .select("src", "dst")
-    )
-    named = materialize(named, "class-links")
-    degree = named.select("src").union(named.select("dst")).toDF("class_id").groupBy("class_id").agg(F.count("*").alias("n_links"))
-    groups = connected_components(named).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    links = materialize(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "class-links")
+    copies = members.groupBy("class_id").agg(F.count("*").alias("n_copies"))
+    degree = links.select("src").union(links.select("dst")).toDF("class_id").groupBy("class_id").agg(F.count("*").alias("n_links"))
+    groups = connected_components(links).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
     return (
-        members.join(classes, "key")
+        members.join(copies, "class_id")
         .join(degree, "class_id", "left")
         .join(groups, "class_id", "left")
         .select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
