@@ -151,7 +151,7 @@ class IvfIndex:
         if k <= 0 or nprobe <= 0:
             return spark.createDataFrame([], "qid long, rank int, hash long, vec_id long, dist double")
         asked = self._asked(queries, id_col, vec_col, depth_col, nprobe)
-        entries = self.entries
+        entries = self.entries.select("hash", "vec_id", "cell", "code")
         if len(asked[1]):
             cells = np.unique(np.concatenate([p[:d] for p, d in zip(probe(asked[1], self.coarse, len(self.coarse)), asked[2], strict=True)]))
             entries = entries.filter(F.col("cell").isin(cells.tolist()))
@@ -223,4 +223,4 @@ class IvfIndex:
         for r in spark.read.parquet(f"{path}/models").orderBy("part", "entry").collect():
             parts.setdefault(r["part"], []).append(r["centroid"])
         coarse = np.array(parts.pop(0))
-        return cls(config, coarse, Codebooks(np.array([parts[p] for p in sorted(parts)])), spark.read.parquet(f"{path}/entries"))
+        return cls(config, coarse, Codebooks(np.array([parts[p] for p in sorted(parts)])), spark.read.parquet(f"{path}/entries").select("hash", "vec_id", "cell", "code"))
