@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from engrava.session import materialize
 
 
+#: Width of a join window in gaps: one row in WINDOW is sent twice.
+WINDOW = 8
+
+
 def _positions(log: DataFrame, entity: str, item: str, time: str, seq: str) -> DataFrame:
     rows = log.select(
         F.col(entity).cast("long").alias("e"), F.col(item).cast("long").alias("item"), F.col(time).cast("long").alias("t"), F.col(seq).cast("long").alias("s")
@@ -54,24 +58,25 @@ def frequent_chains(
     items = materialize(per_item.groupBy("item").agg(F.count("*").alias("support")).filter(F.col("support") >= least), "items")
     found = [items.select(F.array("item").alias("pattern"), "support")]
 
-    # Every step lies within one window of max_gap or crosses into the next one.
+    # A step lies within one window of WINDOW gaps, or ends in the first gap of the next one.
     kept = rows.join(items.select("item"), "item", "left_semi")
-    window = F.floor(F.col("t") / F.lit(max_gap)).cast("long")
+    width = WINDOW * max_gap
+    window, into = F.floor(F.col("t") / F.lit(width)).cast("long"), F.pmod(F.col("t"), F.lit(width))
+    windows = F.when(into <= max_gap, F.array(window, window - 1)).otherwise(F.array(window))
     early = kept.select("e", F.col("item").alias("a"), F.col("t").alias("ta"), F.col("s").alias("sa"), window.alias("w"))
-    late = kept.select("e", F.col("item").alias("b"), F.col("t").alias("tb"), F.col("s").alias("sb"), F.explode(F.array(window, window - 1)).alias("w"))
-    follows = (F.col("tb") <= F.col("ta") + max_gap) & ((F.col("tb") > F.col("ta")) | ((F.col("tb") == F.col("ta")) & (F.col("sb") > F.col("sa")))) & (F.col("a") != F.col("b"))
-    steps = early.join(late, ["e", "w"]).filter(follows)
+    late = kept.select("e", F.col("item").alias("b"), F.col("t").alias("tb"), F.col("s").alias("sb"), F.explode(windows).alias("w"))
+    close = (F.col("tb") >= F.col("ta")) & (F.col("tb") <= F.col("ta") + max_gap) & (F.col("a") != F.col("b"))
+    # First without sequence numbers: equal times count in both orders, which only adds candidates.
+    near = early.drop("sa").join(late.drop("sb"), ["e", "w"]).filter(close)
+    candidates = materialize(_supported(near, ["a", "b"], least), "pairs").select("a", "b")
+    early = early.join(candidates.select("a").distinct(), "a", "left_semi")
+    late = late.join(candidates.select("b").distinct(), "b", "left_semi")
+    after = (F.col("tb") > F.col("ta")) | (F.col("sb") > F.col("sa"))
+    steps = early.join(late, ["e", "w"]).filter(close & after).join(candidates, ["a", "b"], "left_semi")
+    steps = materialize(steps.select("e", "a", "ta", "sa", "b", "tb", "sb").distinct(), "steps")
     pairs = materialize(_supported(steps, ["a", "b"], least), "pairs")
     found.append(pairs.select(F.array("a", "b").alias("pattern"), "support"))
-    firsts = materialize(pairs.select("a").distinct(), "firsts")
-    seconds = pairs.select("b").distinct()
-    early = early.join(firsts, "a", "left_semi")
-    late = late.join(seconds, "b", "left_semi")
-    steps = materialize(
-        early.join(late, ["e", "w"]).filter(follows).join(pairs.select("a", "b"), ["a", "b"], "left_semi")
-        .select("e", "a", "ta", "sa", "b", "tb", "sb").distinct(),
-        "steps",
-    )
+    steps = steps.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
     lists = steps.select(F.array("a", "b").alias("pattern"), "e", F.col("b").alias("a"), F.col("tb").alias("ta"), F.col("sb").alias("sa"))
     level, length = pairs.select(F.array("a", "b").alias("pattern")), 2
     while True:
