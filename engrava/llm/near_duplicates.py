@@ -125,8 +125,9 @@ def _counts(bits: int):
             entry, count = np.unique(shingles >> np.uint64(64 - bits), return_counts=True)
             cut = np.searchsorted(entry, np.arange(BLOCKS + 1, dtype=np.uint64) * np.uint64(size))
             here = np.flatnonzero(np.diff(cut))
-            step = (entry % np.uint64(size)).astype(np.int64)
-            step[1:] = np.where(np.diff(step) < 0, step[1:], np.diff(step))  # small numbers, which compress well
+            place = (entry % np.uint64(size)).astype(np.int64)
+            step = np.diff(place, prepend=0)  # small numbers, which compress well
+            step[cut[here]] = place[cut[here]]
             yield from batches(
                 schema,
                 here.astype(np.int32),
@@ -247,7 +248,7 @@ def near_duplicate_classes(
         .mapInPandas(_ranks(bits), "block int, ranks binary")
     )
     table, size = bytearray(1 << bits), (1 << bits) // BLOCKS
-    for row in blocks.toLocalIterator():  # a table of bounded size, however many texts there are
+    for row in blocks.collect():  # a table of bounded size, however many texts there are
         table[row["block"] * size : (row["block"] + 1) * size] = row["ranks"]
     ranks = spark.sparkContext.broadcast(bytes(table))
     rings = [f"r{i}" for i in range(SEGMENTS)]
