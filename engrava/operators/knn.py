@@ -91,7 +91,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         return rows.mapInArrow(_best(spark.sparkContext.broadcast(value), k, dim, group_col is not None), "qid long, id long, dist double")
 
     # One block of queries at a time reaches the driver; each becomes a scan of the base.
-    for row in asked.toLocalIterator():
+    for row in asked.toLocalIterator(prefetchPartitions=True):
         block.append({"id": row["id"], "v": row["v"], "g": row["g"]})
         if len(block) == QUERY_BLOCK:
             part, block = search(block), []

@@ -71,3 +71,41 @@ atexit.register(release_materialized)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_ready: set[str] = set()
+
+
+def _probe(frames):
+    import importlib.util
+
+    for frame in frames:
+        yield frame.assign(found=importlib.util.find_spec("engrava") is not None)
+
+
+def ensure_workers(spark: SparkSession) -> None:
+    """Make this package importable for the executors' Python workers, if it is not already.
+
+    Where workers do not see the package (no common folder on their path), it is shipped
+    to them once per application.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _ready:
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    from pyspark import cloudpickle
+
+    probe = cloudpickle.loads(cloudpickle.dumps(_probe))
+    probe.__module__ = "__main__"  # sent by value: the workers may not know this module
+    seen = spark.range(0, 4, 1, 4).mapInPandas(probe, "id long, found boolean").filter("not found").count()
+    if seen:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="engrava-")) / "engrava.zip"  # the driver's copy; Spark distributes it
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, Path("engrava") / file.relative_to(root))
+        context.addPyFile(str(archive))
+    _ready.add(context.applicationId)
