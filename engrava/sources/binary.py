@@ -53,7 +53,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     last = files.agg(F.max("path").alias("_last"))
     rows = rows.crossJoin(F.broadcast(last))  # one row
     damaged = F.when(~F.col("whole") & (F.col("path") != F.col("_last")), F.raise_error(F.concat(F.lit("damaged segment "), F.col("path")))).otherwise(F.col("whole"))
-    return rows.withColumn("whole", damaged.cast("boolean")).filter("whole").select("seq", "ts_ns", "type", "tenant", F.decode("payload", F.lit("UTF-8")).alias("payload"))
+    return rows.withColumn("whole", damaged.cast("boolean")).filter("whole").select("seq", "ts_ns", "type", "tenant", F.decode("payload", "UTF-8").alias("payload"))
 
 
 def _vectors(kind: str):
