@@ -44,6 +44,11 @@ def test_equal_stretches_have_a_common_anchor(a, b, length, run):
             assert chosen(a) & chosen(b)
 
 
+def grams(text, n):
+    w = words(text)
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
 def brute_spans(texts, n):
     held = {}
     for i, t in texts:
@@ -103,8 +108,8 @@ def test_leaks_find_exact_and_edited_copies(spark):
     it = spark.createDataFrame([*items, (50, None), (51, "short"), (None, items[0][1])], "item_id long, text string")
     found = leaks(df, it, block_grams=64)  # several blocks of items
     rows = found.collect()
-    grams = lambda t: {tuple(words(t)[k : k + 12]) for k in range(len(words(t)) - 11)}
-    truth = {(d, i) for d, t in docs for i, x in items if grams(t) & grams(x)}
+    held = [(i, grams(x, 12)) for i, x in items]
+    truth = {(d, i) for d, t in docs for g in [grams(t, 12)] for i, x in held if g & x}
     assert {(r.doc_id, r.item_id) for r in rows if r.longest_run >= 12} == truth and (904, 1) in truth
     copy = [r for r in rows if (r.doc_id, r.item_id) == (900, 0)]
     assert copy and copy[0].longest_run < 12 and copy[0].score >= 0.6 * 2 * 30
@@ -127,7 +132,7 @@ def test_alignment_matches_the_plain_recurrence(a, b):
 
 
 def brute_pairs(texts, similarity, n):
-    sets = {i: {tuple(words(t)[k : k + n]) for k in range(len(words(t)) - n + 1)} for i, t in texts}
+    sets = {i: grams(t, n) for i, t in texts}
     ids = sorted(i for i in sets if sets[i])
     return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9}
 
