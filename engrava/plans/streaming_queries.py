@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from engrava.session import shared_dir
+from engrava.session import delete_at_exit, shared_dir
 from engrava.streaming import state, windows
 
 
 def _run(spark, out, mode: str):
     """Run a stream over what is there into a table of the shared folder; complete results only."""
     where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    delete_at_exit(spark, where)
     result: list = []
 
     def keep(batch, n):

@@ -54,6 +54,11 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder together with the materialized tables."""
+    _written.append((spark, path))
+
+
 def release_materialized() -> None:
     """Delete every table ``materialize`` wrote in this process."""
     while _written:
