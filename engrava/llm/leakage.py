@@ -6,7 +6,11 @@ seeds join documents to items. Each candidate pair is then aligned word by word
 (Smith-Waterman), which scores edited copies and yields the longest run of equal words.
 
 A pair with a run of ``passage`` equal words always shares a seed: all n-grams of that
-passage occur in the document, also the rarest. Items are matched in blocks of at most
+passage occur in the document, also the rarest. Edited copies are found by counting: an
+alignment with m equal words and e edits scores at least ``share`` of an item of n words
+only if m - e >= share * n, and its equal words stand in at most e + 1 runs, so at least
+ceil(share * n) - 1 of the item's word pairs stand in the document, whatever else is in the
+corpus. Where that bound is 0, single words count. Items are matched in blocks of at most
 ``block_grams`` n-grams, so what is broadcast is bounded however many items there are.
 
 Null ids are left out, null or empty texts match nothing, repeated ids count once per
@@ -29,6 +33,8 @@ from engrava.session import materialize
 
 MATCH, MISMATCH, GAP = 2, -2, -2
 _PAIRS = 64
+#: (document, item) counters and postings a task holds at once.
+_CELLS = 1 << 22
 
 
 def _gram_rows(n: int):
@@ -76,6 +82,108 @@ def _holders(n: int, wanted):
     return run
 
 
+def _needed(share: float, n: np.ndarray) -> np.ndarray:
+    """Equal words less edits that a score of ``share`` takes in an item of n words."""
+    return np.maximum(np.ceil(share * n - 1e-9), 1).astype(np.int64)
+
+
+def _item_keys(share: float):
+    """Per item its different word pairs (single words where one word is enough), how often each stands in it, and how many a copy needs."""
+    schema = pa.schema([("item_id", pa.int64()), ("gram", pa.int64()), ("times", pa.int32()), ("need", pa.int32()), ("single", pa.bool_())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
+            for lo, hi in k.chunks(texts):
+                words = k.Words(texts[lo:hi])
+                need = _needed(share, np.diff(words.first))
+                for size in (1, 2):
+                    grams, at = words.grams(size)
+                    item = words.text[at]
+                    mine = (need[item] == 1) == (size == 1)
+                    rows = pa.table({"item": item[mine], "gram": signed(grams[mine])}).group_by(["item", "gram"]).aggregate([([], "count_all")])
+                    item, gram, times = (rows[c].to_numpy() for c in ("item", "gram", "count_all"))
+                    least = need[item] - (size == 2)
+                    yield from batches(schema, ids[lo:hi][item], gram, times.astype(np.int32), least.astype(np.int32), np.full(len(item), size == 1))
+
+    return run
+
+
+def _model(keys) -> dict[str, np.ndarray]:
+    """The keys of a block of items, by gram and by item."""
+    ids, item = np.unique(keys["item_id"].to_numpy(np.int64), return_inverse=True)
+    known, gram = np.unique(keys["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+    need = np.zeros(len(ids), np.int64)
+    need[item] = keys["need"]
+    by_gram, by_item = np.argsort(gram, kind="stable"), np.argsort(item, kind="stable")
+    return {
+        "ids": ids, "known": known, "need": need, "single": np.array(keys["single"].any()),
+        "start": np.searchsorted(gram[by_gram], np.arange(len(known) + 1)), "item": item[by_gram], "times": keys["times"].to_numpy()[by_gram],
+        "of": np.searchsorted(item[by_item], np.arange(len(ids) + 1)), "gram": gram[by_item],
+    }
+
+
+def _copies(model):
+    """Documents that hold enough of an item's word pairs, with those items and where the pairs stand."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("item_id", pa.list_(pa.int64())), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        known, start, n_items = m["known"], m["start"], len(m["ids"])
+        near = np.zeros(1 << 20, bool)
+        near[known >> np.uint64(44)] = True
+        for batch in stream:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
+            for lo, hi in k.chunks(texts):
+                words = k.Words(texts[lo:hi])
+                docs, places, keys = [], [], []
+                for size in (1, 2) if m["single"] else (2,):
+                    grams, at = words.grams(size)
+                    hit = np.flatnonzero(near[grams >> np.uint64(44)])
+                    key = np.minimum(np.searchsorted(known, grams[hit]), len(known) - 1)
+                    same = known[key] == grams[hit]
+                    docs.append(words.text[at[hit[same]]])
+                    places.append(at[hit[same]] - words.first[docs[-1]])
+                    keys.append(key[same])
+                doc, place, key = np.concatenate(docs), np.concatenate(places), np.concatenate(keys)
+                order = np.lexsort((key, doc))
+                doc, place, key = doc[order], place[order], key[order]
+                first = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(key, prepend=-1))
+                one, gram = doc[first], key[first]  # each word pair once per document
+                size = start[gram + 1] - start[gram]
+                some, slot = np.unique(one, return_inverse=True)
+                cost = np.maximum(np.bincount(slot, size, len(some)), n_items)
+                part = (np.cumsum(cost) // _CELLS).astype(np.int64)[slot]  # parts of whole documents
+                pairs = []
+                for p in np.unique(part):
+                    sel = np.flatnonzero(part == p)
+                    base = slot[sel[0]]
+                    post = np.repeat(start[gram[sel]] - np.cumsum(size[sel]) + size[sel], size[sel]) + np.arange(size[sel].sum())
+                    cell = np.repeat(slot[sel] - base, size[sel]) * n_items + m["item"][post]
+                    held = np.bincount(cell, m["times"][post], (slot[sel[-1]] - base + 1) * n_items).reshape(-1, n_items)
+                    d, i = np.nonzero(held >= m["need"])
+                    pairs += zip(some[d + base].tolist(), i.tolist(), strict=True)
+                if not pairs:
+                    continue
+                low, high = [], []
+                for d, i in pairs:
+                    a, b = np.searchsorted(doc, [d, d + 1])
+                    at = place[a:b][np.isin(key[a:b], m["gram"][m["of"][i] : m["of"][i + 1]])]
+                    low.append(at.min())
+                    high.append(at.max())
+                found, counts = np.unique([d for d, _ in pairs], return_counts=True)
+                yield from batches(
+                    schema,
+                    ids[lo:hi][found],
+                    pa.array([texts[lo + i] for i in found], pa.string()),
+                    lists(counts, m["ids"][[i for _, i in pairs]], pa.int64()),
+                    lists(counts, np.array(low, np.int32), pa.int32()),
+                    lists(counts, np.array(high, np.int32), pa.int32()),
+                )
+
+    return run
+
+
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman score and longest run of equal words of each (document part, item) pair."""
     rows, width = max(map(len, docs)), max(map(len, items))
@@ -112,7 +220,7 @@ def _aligned(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(hi - lo):
                 item = given.hash[given.first[i] : given.first[i + 1]]
                 doc = words.hash[words.first[i] : words.first[i + 1]]
-                parts.append(doc[max(0, low[lo + i] - len(item)) : high[lo + i] + 2 * len(item)])
+                parts.append(doc[max(0, low[lo + i] - 2 * len(item)) : high[lo + i] + 2 * len(item)])
                 wholes.append(item)
             order = np.argsort([len(x) for x in parts], kind="stable")
             for j in range(0, len(order), _PAIRS):
@@ -138,10 +246,13 @@ def leaks(
     item_id: str = "item_id",
     item_text: str = "text",
     block_grams: int = 1 << 20,
+    share: float = 0.6,
 ) -> DataFrame:
-    """(doc_id, item_id, score, longest_run, item_words) of every pair that shares a seed."""
+    """(doc_id, item_id, score, longest_run, item_words) of every pair that shares a seed or may score ``share`` of the best."""
     if not 1 <= gram <= passage:
         raise ValueError("need 1 <= gram <= passage")
+    if not 0 < share <= 1:
+        raise ValueError("need 0 < share <= 1")
     spark = docs.sparkSession
     docs, items = _id_text(docs, doc_id, doc_text, "doc_id"), _id_text(items, item_id, item_text, "item_id")
     item_grams = materialize(items.mapInArrow(_gram_rows(gram), "id long, pos int, gram long").withColumnRenamed("id", "item_id"), "item-grams")
@@ -166,8 +277,24 @@ def leaks(
         .select("item_id", F.col("rarest.gram").alias("gram"))
         .distinct()
     )
-    pairs = hits.join(seeds, "gram").groupBy("doc_id", "item_id").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    texts = held.select("doc_id", "text").dropDuplicates(["doc_id"])
+    item_keys = materialize(
+        items.dropDuplicates(["item_id"]).mapInArrow(_item_keys(share), "item_id long, gram long, times int, need int, single boolean"), "item-keys"
+    )
+    copies = None
+    blocks = max(1, -(-item_keys.count() // block_grams))
+    for b in range(blocks):
+        keys = item_keys.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()
+        if len(keys):
+            found = docs.mapInArrow(_copies(spark.sparkContext.broadcast(_model(keys))), "doc_id long, text string, item_id array<long>, low array<int>, high array<int>")
+            copies = found if copies is None else copies.unionByName(found)
+    pairs = hits.join(seeds, "gram").select("doc_id", "item_id", F.col("at").alias("low"), F.col("at").alias("high"))
+    texts = held.select("doc_id", "text")
+    if copies is not None:
+        copies = materialize(copies, "copies")
+        pairs = pairs.union(copies.select("doc_id", F.explode(F.arrays_zip("item_id", "low", "high")).alias("c")).select("doc_id", "c.item_id", "c.low", "c.high"))
+        texts = texts.union(copies.select("doc_id", "text"))
+    pairs = pairs.groupBy("doc_id", "item_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    texts = texts.dropDuplicates(["doc_id"])
     item_texts = items.dropDuplicates(["item_id"]).withColumnRenamed("text", "item_text")
     return (
         pairs.join(texts, "doc_id")

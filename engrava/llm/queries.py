@@ -96,7 +96,7 @@ def p9_found(spark, d):
 
 def p9_leaked_items(spark, d):
     """Per leaked item: documents with a whole passage, and with an edited copy."""
-    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), share=EDITED_SHARE)
     share = F.col("score") / (2 * F.col("item_words"))
     return (
         found.withColumn("exact", F.col("longest_run") >= 12)

@@ -117,6 +117,33 @@ def test_leaks_find_exact_and_edited_copies(spark):
     assert leaks(df, it.filter("item_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("block_grams", [1 << 20, 40])
+def test_edited_copies_are_found_beside_exact_ones(spark, block_grams):
+    rng = random.Random(9)
+    some = lambda n: [rng.choice([f"w{i}" for i in range(60)]) for _ in range(n)]
+    items = [(i, some(n)) for i, n in enumerate([30, 24, 41, 13, 5, 2, 1])]
+    docs = [(100 + i, some(20) + x + some(20)) for i, x in items]
+    for i, x in items:
+        for t in range(12):
+            y = list(x)
+            for _ in range(rng.randrange(1, 2 + len(x) // 4)):
+                at = rng.randrange(len(y))
+                y[at : at + rng.randrange(2)] = [f"new{rng.randrange(9)}"]
+            docs.append((1000 * (i + 1) + t, some(40) + y + some(rng.randrange(60))))
+    df = spark.createDataFrame([(d, " ".join(y)) for d, y in docs], "doc_id long, text string").repartition(3)
+    it = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    code = lambda x: np.array([hash(w) & (2**63 - 1) for w in x], np.uint64)
+    truth = {}
+    for i, x in items:
+        best, run = align([code(y) for _, y in docs], [code(x)] * len(docs))
+        truth |= {(d, i): (s, r) for (d, _), s, r in zip(docs, best.tolist(), run.tolist(), strict=True) if s >= 0.6 * 2 * len(x)}
+    found = {(r.doc_id, r.item_id): (r.score, r.longest_run) for r in leaks(df, it, block_grams=block_grams).collect()}
+    assert {p: found.get(p) for p in truth} == truth
+    assert sum(r < 12 for _, r in truth.values()) > 60
+    with pytest.raises(ValueError):
+        leaks(df, it, share=0)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.lists(st.integers(1, 4), min_size=1, max_size=12))
 def test_alignment_matches_the_plain_recurrence(a, b):
