@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from engrava.llm import clusters
 from engrava.llm.clusters import labelled_clusters, markov_flow
 from engrava.llm.patterns import frequent_chains
 from engrava.llm.posting_lists import CentroidGraph, ListConfig, nearest_neighbours
@@ -130,6 +131,48 @@ def test_clusters_are_components_with_labels(spark):
     assert none.count() == 0
 
 
+def connected(x, threshold=0.70):
+    """The least row of each row's connected set, by brute force."""
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near, root = x @ x.T >= threshold, np.arange(len(x))
+    while True:
+        low = np.where(near, root[None], len(x)).min(1)
+        if (low == root).all():
+            return root
+        root = low
+
+
+def two_groups(seed):
+    """Two groups of ten equal directions whose cosine is 0.75, and one group on its own."""
+    rng = np.random.default_rng(seed)
+    a, b, c = np.linalg.qr(rng.normal(size=(64, 3)))[0].T
+    b = 0.75 * a + np.sqrt(1 - 0.75**2) * b
+    return np.concatenate([v + 0.002 * rng.normal(size=(10, 64)) for v in (a, b, c)])
+
+
+def chain(seed, n, step):
+    """n directions on a circle, neighbours ``step`` radians apart."""
+    a, b = np.linalg.qr(np.random.default_rng(seed).normal(size=(64, 2)))[0].T
+    return np.array([np.cos(i * step) * a + np.sin(i * step) * b for i in range(n)])
+
+
+@pytest.mark.parametrize("pivots, block", [(3, 16384), (12, 20)])
+def test_clusters_are_whole_with_few_pivots(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(clusters, "PIVOTS", pivots)
+    monkeypatch.setattr(clusters, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([two_groups(1), two_groups(2), chain(3, 8, 0.75), chain(4, 9, 0.78), clustered(5, [40, 12, 9, 5], noise=0.7), rng.normal(size=(60, 64))])
+    x = x.astype(np.float32)
+    root = connected(x)
+    truth = {frozenset(np.flatnonzero(root == r).tolist()) for r in np.unique(root) if (root == r).sum() >= 8}
+    df = spark.createDataFrame([(i, v.tolist(), ["t"]) for i, v in enumerate(x)], "mem_id long, vec array<float>, tags array<string>").repartition(3)
+    got = {}
+    for r in clusters.labelled_clusters(df)[0].collect():
+        got.setdefault(r.cluster, []).append(r.id)
+    assert all(len(set(m)) == len(m) for m in got.values())
+    assert {frozenset(m) for m in got.values()} == truth and max(map(len, truth)) >= 20
+
+
 def test_markov_flow_separates_two_cliques_with_a_thin_bridge(spark):
     edges = [(a, b, 1.0) for g in (range(6), range(10, 16)) for a in g for b in g if a < b] + [(5, 10, 0.1), (3, 3, 9.0), (1, 2, None)]
     flow = markov_flow(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()
