@@ -173,6 +173,17 @@ def test_clusters_are_whole_with_few_pivots(spark, monkeypatch, pivots, block):
     assert {frozenset(m) for m in got.values()} == truth and max(map(len, truth)) >= 20
 
 
+def test_typical_members_come_from_all_members(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "PIVOTS", 2)
+    x = clustered(8, [50, 20, 10]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), ["t"]) for i, v in enumerate(x)], "mem_id long, vec array<float>, tags array<string>").repartition(3)
+    got = {r.size: r.typical for r in clusters.labelled_clusters(df)[1].collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for lo, hi in ((0, 50), (50, 70), (70, 80)):
+        score = u[lo:hi] @ u[lo:hi].sum(0)
+        assert got[hi - lo] == (lo + np.argsort(-score)[:3]).tolist()
+
+
 def test_markov_flow_separates_two_cliques_with_a_thin_bridge(spark):
     edges = [(a, b, 1.0) for g in (range(6), range(10, 16)) for a in g for b in g if a < b] + [(5, 10, 0.1), (3, 3, 9.0), (1, 2, None)]
     flow = markov_flow(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()
