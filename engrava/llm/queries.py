@@ -53,9 +53,9 @@ def p5_found(spark, d):
 
 
 def p5_profiles(spark, d):
-    """Size, label and most typical members of each cluster."""
+    """Size, label, Markov clusters and most typical members of each cluster."""
     _, profiles = labelled_clusters(table(spark, d, "memories"))
-    return profiles.select("cluster", "cluster_label", "size", "typical")
+    return profiles.select("cluster", "cluster_label", "size", "parts", "typical")
 
 
 def p6_found(spark, d):

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engrava.llm import clusters
 from engrava.llm.clusters import labelled_clusters, markov_flow
@@ -99,7 +100,7 @@ def test_neighbours_exact_in_small_groups_and_recall_in_lists(spark):
     truth = brute_neighbours(ids, groups, x, 5)
     exact = nearest_neighbours(v, 5).collect()
     assert {(r.id, r.neighbour) for r in exact} == truth and len(exact) == len(truth)
-    lists = nearest_neighbours(v, 5, ListConfig(list_size=30, single_list=60, block_postings=25, block_queries=40)).collect()
+    lists = nearest_neighbours(v, 5, ListConfig(list_size=30, block_postings=25, block_queries=40)).collect()
     assert len(lists) == len(truth) and len({(r.id, r.neighbour) for r in lists} & truth) >= 0.9 * len(truth)
     assert nearest_neighbours(v.filter("id < 0"), 5).count() == 0
     with pytest.raises(ValueError):
@@ -113,6 +114,35 @@ def test_graph_search_finds_nearest_centroids():
     at, d = graph.search(q, 10)
     truth = np.argsort(((q[:, None] - c[None]) ** 2).sum(-1), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) for a, b in zip(at, truth, strict=True)]) >= 9 and (np.diff(d, axis=1) >= 0).all()
+    row, cell, rank, far = graph.within(q, 1.2, np.zeros(len(c)))
+    d = ((q[:, None] - c[None]) ** 2).sum(-1)
+    wanted = {(i, j) for i, j in zip(*np.nonzero(d <= d.min(1)[:, None] * 1.44), strict=True)}
+    assert len(wanted & set(zip(row, cell, strict=True))) >= 0.98 * len(wanted) == 0.98 * len(set(zip(row, cell, strict=True)) | wanted)
+    assert np.allclose(far, d[row, cell]) and (rank[far == far.min()] == 0).all()
+
+
+def recall(spark, x, config, k=5):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>").repartition(4)
+    got = {(r.id, r.neighbour) for r in nearest_neighbours(usable_vectors(df, "id", "vec"), k, config).collect()}
+    hits = 0
+    for lo in range(0, len(u), 1000):
+        close = u[lo : lo + 1000] @ u.T
+        close[np.arange(len(close)), lo + np.arange(len(close))] = -2
+        near = np.argpartition(-close, k, axis=1)[:, :k]
+        hits += sum((lo + i, j) in got for i, row in enumerate(near) for j in row.tolist())
+    return hits / (k * len(x)), len(got)
+
+
+def test_recall_holds_with_many_lists_and_nothing_to_tell_them_apart(spark):
+    x = np.random.default_rng(5).normal(size=(8000, 64)).astype(np.float32)
+    found, n = recall(spark, x, ListConfig(list_size=16))  # 500 lists, searched by the graph
+    assert found >= 0.97 and n == 5 * len(x)
+
+
+def test_recall_holds_with_few_lists_a_query(spark):
+    found, n = recall(spark, clustered(6, [300] * 20, noise=0.8), ListConfig(list_size=40))
+    assert found >= 0.99 and n == 5 * 6000
 
 
 def test_clusters_are_components_with_labels(spark):
@@ -173,15 +203,39 @@ def test_clusters_are_whole_with_few_pivots(spark, monkeypatch, pivots, block):
     assert {frozenset(m) for m in got.values()} == truth and max(map(len, truth)) >= 20
 
 
-def test_typical_members_come_from_all_members(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "PIVOTS", 2)
-    x = clustered(8, [50, 20, 10]).astype(np.float32)
+def test_typical_members_are_those_the_flow_reaches_most(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "PIVOTS", 12)
+    x = clustered(8, [50, 20, 10], noise=0.6).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), ["t"]) for i, v in enumerate(x)], "mem_id long, vec array<float>, tags array<string>").repartition(3)
-    got = {r.size: r.typical for r in clusters.labelled_clusters(df)[1].collect()}
+    vectors = usable_vectors(df, "mem_id", "vec")
+    members, nodes, reached = clusters.similarity_clusters(vectors)
+    of, held = {r.id: r.cluster for r in members.collect()}, {r.id: r.strength for r in nodes.collect()}
+    got = {r.id: r.strength for r in reached.collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    for lo, hi in ((0, 50), (50, 70), (70, 80)):
-        score = u[lo:hi] @ u[lo:hi].sum(0)
-        assert got[hi - lo] == (lo + np.argsort(-score)[:3]).tolist()
+    sample = [r.id for r in vectors.orderBy(F.xxhash64("id"), "id").limit(12).collect()]
+    near = np.where(u @ u[sample].T >= 0.70, u @ u[sample].T, 0) ** 2
+    flow = near @ (np.array([held[p] for p in sample]) / near.sum(0))
+    for i in range(len(x)):
+        if near[i].any():
+            assert got.get(i, 0) == pytest.approx(flow[i], rel=1e-4)
+    assert sum(v for i, v in got.items() if near[i].any()) == pytest.approx(sum(near.any(1)), rel=1e-4)  # no mass is lost
+    for r in labelled_clusters(df)[1].collect():
+        mine = sorted((i for i in of if of[i] == r.cluster), key=lambda i: (-np.float32(got.get(i, 0)), i))
+        assert set(r.typical) <= set(mine[:4]) and r.typical[0] in mine[:2] and r.parts >= 1
+
+
+def test_markov_flow_decides_typical_members_and_parts(spark, monkeypatch):
+    x = clustered(8, [50, 20, 10], noise=0.6).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), ["t"]) for i, v in enumerate(x)], "mem_id long, vec array<float>, tags array<string>").repartition(3)
+    with_flow = {r.size: (r.parts, r.typical) for r in labelled_clusters(df)[1].collect()}
+
+    def still(edges, **_):
+        ends = edges.select(F.col("src").alias("i")).union(edges.select("dst")).distinct()
+        return ends.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+
+    monkeypatch.setattr(clusters, "markov_flow", still)
+    without = {r.size: (r.parts, r.typical) for r in labelled_clusters(df)[1].collect()}
+    assert with_flow.keys() == without.keys() and with_flow != without
 
 
 def test_markov_flow_separates_two_cliques_with_a_thin_bridge(spark):
