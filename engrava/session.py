@@ -54,6 +54,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes a shuffle partition should hold.
+PARTITION_BYTES = 64 << 20
+
+
+def wide_enough(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """``df`` with enough shuffle partitions by ``keys`` for ``size`` bytes, if the session's number is too small.
+
+    Adaptive execution only ever merges partitions, so what outgrows the setting is spread here.
+    """
+    wanted = -(-int(size) // PARTITION_BYTES)
+    return df.repartition(wanted, *keys) if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Delete a folder together with the materialized tables."""
     _written.append((spark, path))
