@@ -1,10 +1,16 @@
 """Replaying a change feed of inserts, partial updates and deletes into the current table.
 
-Changes apply per key in the order of (seq, step); one that has been applied (same key, seq
-and step) is skipped, however often and late it arrives. An upsert makes its key live and
-sets the columns it gives (null: not given); a delete ends the key if it is live and
-forgets its columns. Changes with a null key or null seq are left out; an unknown operation
-is an error; an empty feed gives an empty table.
+Changes apply per key in the order of (seq, step), however often and late they arrive. An
+upsert makes its key live and sets the columns it gives (null: not given); a delete ends the
+key if it is live and forgets its columns. Changes with a null key or null seq are left out;
+an unknown operation is an error; an empty feed gives an empty table.
+
+``apply_changes`` replays a whole feed. ``apply_feed`` carries on from the state an earlier
+call left: for each key the position (seq, step) of its last write, of its last delete and of
+the change that set each column. A change is skipped if its key has been deleted at or after
+its position, or if it is the very change the state holds; a change that comes late but was
+not applied takes its place in the order. So a feed may be applied in parts, in any order and
+more than once, with the result of one run over all of it.
 """
 
 from __future__ import annotations
@@ -81,9 +87,8 @@ def _replay(n_keys: int, n_columns: int):
 def apply_changes(changes: DataFrame, keys: list[str], columns: list[str] | None = None, seq: str = "seq", step: str | None = None, op: str = "op") -> DataFrame:
     """(keys, seq, columns): one row per key live at the end; ``seq`` is that of the last change that wrote it.
 
-    ``op`` is 'upsert' or 'delete'; ``step`` orders changes of one sequence number.
-    Applying a delete or a write again is harmless, so repeated deliveries need no
-    table of what was applied: order alone makes the replay idempotent.
+    ``op`` is 'upsert' or 'delete'; ``step`` orders changes of one sequence number. Repeated
+    deliveries lie next to each other in the order and change nothing.
     """
     if not keys:
         raise ValueError("need keys")
@@ -106,3 +111,74 @@ def apply_changes(changes: DataFrame, keys: list[str], columns: list[str] | None
     given = [F.max_by(c, F.when(since & F.col(c).isNotNull(), F.col("_n"))).alias(c) for c in columns]
     joined = edges.groupBy(*keys).agg(F.max("_seq").alias("seq"), F.max_by("_live", "_n").alias("_live"), *given).filter("_live")
     return whole.unionByName(joined.select(*keys, "seq", *columns))
+
+
+_AT = "struct<s:bigint,p:int>"
+
+
+def _placed(changes: DataFrame, keys: list[str], columns: list[str], seq: str, step: str | None, op: str) -> DataFrame:
+    """(keys, _s, _p, _op, columns): each given column with the position of its change, ``_write`` the position itself for writes."""
+    order = F.lit(0) if step is None else F.coalesce(F.col(step).cast("int"), F.lit(0))
+    rows = changes.select(*keys, F.col(seq).cast("long").alias("_s"), order.alias("_p"), F.col(op).alias("_op"), *columns)
+    rows = rows.filter(" and ".join(f"`{c}` is not null" for c in (*keys, "_s")))
+    held = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_s").alias("s"), F.col("_p").alias("p"))).alias(c) for c in columns]
+    return rows.select(*keys, "_s", "_p", "_op", *held, F.when(F.col("_op") == UPSERT, F.struct(F.lit(True).alias("v"), F.col("_s").alias("s"), F.col("_p").alias("p"))).alias("_write"))
+
+
+def _as_changes(state: DataFrame, keys: list[str], columns: list[str], types: dict[str, str]) -> DataFrame:
+    """A state as the shortest feed that makes it: a row for its delete, its last write and each column."""
+    none = {c: F.lit(None).cast(types[c]).alias(c) for c in (*columns, "_write")}
+    parts = [F.struct(F.col("deleted.s").alias("_s"), F.col("deleted.p").alias("_p"), F.lit(DELETE).alias("_op"), *none.values())]
+    for held in (*columns, "_write"):
+        at = F.col(held)
+        given = [at.alias(c) if c == held else none[c] for c in (*columns, "_write")]
+        parts.append(F.struct(at["s"].alias("_s"), at["p"].alias("_p"), F.lit(UPSERT).alias("_op"), *given))
+    rows = state.select(*keys, F.explode(F.array(*parts)).alias("_r")).filter("_r._s is not null")
+    return rows.select(*keys, "_r.*")
+
+
+def apply_feed(state: DataFrame | None, changes: DataFrame, keys: list[str], columns: list[str] | None = None, seq: str = "seq", step: str | None = None, op: str = "op") -> DataFrame:
+    """The state after more changes: (keys, columns, _write, deleted), one row per key ever live or deleted.
+
+    A column is a struct (v, s, p) of its value and the position that set it, ``_write`` the
+    position of the last write (null: not live), ``deleted`` that of the last delete.
+    ``current`` gives the live rows, ``skipped`` tells how many changes would be skipped.
+    """
+    columns = columns or []
+    feed = _placed(changes, keys, columns, seq, step, op)
+    types = dict(feed.dtypes)
+    if state is not None:
+        feed = _unskipped(state, feed, keys, columns).unionByName(_as_changes(state, keys, columns, types))
+    live = apply_changes(feed, keys, [*columns, "_write"], "_s", "_p", "_op").drop("seq")
+    ends = feed.filter(F.col("_op") == DELETE).groupBy(*keys).agg(F.max(F.struct(F.col("_s").alias("s"), F.col("_p").alias("p"))).alias("deleted"))
+    return live.join(ends, keys, "full").select(*keys, *columns, "_write", F.col("deleted").cast(_AT).alias("deleted"))
+
+
+def _skip(columns: list[str]):
+    """Whether the change (_s, _p) has been applied to the state's row or lies before its last delete."""
+    at = F.struct(F.col("_s").alias("s"), F.col("_p").alias("p"))
+    same = F.coalesce(F.col("_state._write.s") == F.col("_s"), F.lit(False)) & F.coalesce(F.col("_state._write.p") == F.col("_p"), F.lit(False))
+    for c in columns:  # the state's write holds all it gave, unless a column of it was given later
+        same = same & (F.col(c).isNull() | (F.struct(F.col(f"_state.`{c}`.s"), F.col(f"_state.`{c}`.p")) >= at))
+    return F.coalesce(F.col("_state.deleted").cast(_AT) >= at, F.lit(False)) | same
+
+
+def _with_state(state: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in state.columns if c not in keys]
+    return feed.join(state.select(*keys, F.struct(*rest).alias("_state")), keys, "left")
+
+
+def _unskipped(state: DataFrame, feed: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    return _with_state(state, feed, keys).filter(~_skip(columns)).drop("_state")
+
+
+def skipped(state: DataFrame, changes: DataFrame, keys: list[str], columns: list[str] | None = None, seq: str = "seq", step: str | None = None, op: str = "op") -> DataFrame:
+    """(n_changes, n_skipped) of a feed that is to be applied to a state."""
+    columns = columns or []
+    rows = _with_state(state, _placed(changes, keys, columns, seq, step, op), keys)
+    return rows.agg(F.count("*").alias("n_changes"), F.count_if(_skip(columns)).alias("n_skipped"))
+
+
+def current(state: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """(keys, seq, columns): the live rows of a state."""
+    return state.filter("_write is not null").select(*keys, F.col("_write.s").alias("seq"), *(F.col(f"`{c}`.v").alias(c) for c in columns or []))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engrava.operators.changes import apply_changes
+from engrava.operators.changes import apply_changes, apply_feed, current, skipped
 from engrava.operators.sessions import sessions
-from engrava.session import table
+from engrava.session import materialize, table
 
 
 def _sessions(spark, d):
@@ -42,6 +42,31 @@ def p3_current(spark, d):
     return apply_changes(memory_changes(spark, d, ("text", "src")), ["tenant", "mem_id"], ["text", "src"], step="step")
 
 
+_KEYS, _COLUMNS = ["tenant", "mem_id"], ["text", "src"]
+
+
+def _halves(spark, d):
+    """The feed cut at the middle of its sequence numbers, and the state after the first half."""
+    feed = memory_changes(spark, d, _COLUMNS)
+    middle = (feed.agg(F.max("seq")).first()[0] or 0) // 2
+    state = materialize(apply_feed(None, feed.filter(F.col("seq") <= middle), _KEYS, _COLUMNS, step="step"), "state")
+    return feed, feed.filter(F.col("seq") > middle), state
+
+
+def p3_incremental(spark, d):
+    """The live memories after the feed's first half, then its second half, and that once more."""
+    _, late, state = _halves(spark, d)
+    for _ in range(2):
+        state = materialize(apply_feed(state, late, _KEYS, _COLUMNS, step="step"), "state")
+    return current(state, _KEYS, _COLUMNS)
+
+
+def p3_skipped(spark, d):
+    """Of the whole feed, how many changes are skipped when it is applied to the state after its first half."""
+    feed, _, state = _halves(spark, d)
+    return skipped(state, feed, _KEYS, _COLUMNS, step="step")
+
+
 _TRIMMED = "lower(regexp_replace(coalesce(src, ''), '^\\s+|\\s+$', '', 'g'))"
 
 _SESSIONS = f"""
@@ -59,7 +84,7 @@ le AS (SELECT tenant, mem_id, max(seq * 2 + step) AS at FROM e GROUP BY ALL),
 live AS (SELECT lw.tenant, lw.mem_id, lw.seq, coalesce(le.at, -1) AS at FROM lw LEFT JOIN le ON le.tenant = lw.tenant AND le.mem_id = lw.mem_id WHERE le.at IS NULL OR lw.seq * 2 > le.at)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sessions, p3_found, p3_current)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sessions, p3_found, p3_current, p3_incremental, p3_skipped)}
 ORACLES = {
     "p2_found": _SESSIONS + "SELECT tenant, src, start_ns, end_ns FROM s",
     "p2_sessions": _SESSIONS + "SELECT * FROM s",
@@ -68,3 +93,4 @@ ORACLES = {
     + """SELECT l.tenant, l.mem_id, l.seq, max_by(w.text, w.seq) FILTER (w.text IS NOT NULL) AS text, max_by(w.src, w.seq) FILTER (w.src IS NOT NULL) AS src
 FROM live l JOIN w ON w.tenant = l.tenant AND w.mem_id = l.mem_id AND w.seq * 2 > l.at GROUP BY l.tenant, l.mem_id, l.seq""",
 }
+ORACLES["p3_incremental"] = ORACLES["p3_current"]

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from engrava.operators import changes
 from engrava.operators.changes import apply_changes
 from engrava.operators.sessions import sessions
 
@@ -78,3 +79,31 @@ def test_replay_of_nothing_and_of_unknown_operations(spark):
     assert apply_changes(df.filter("k = 2"), ["k"]).count() == 0
     with pytest.raises(Exception, match="unknown operation"):
         apply_changes(df, ["k"]).collect()
+
+
+def test_a_feed_in_parts_equals_one_run(spark):
+    rng = random.Random(9)
+    rows = []
+    for seq in range(400):
+        k = rng.randrange(25)
+        if rng.random() < 0.25:
+            rows.append((k, seq, 0, "delete", None, None))
+        else:
+            rows.append((k, seq, 0, "upsert", rng.choice([None, f"a{seq}"]), rng.choice([None, seq])))
+            if rng.random() < 0.2:
+                rows.append((rng.randrange(25), seq, 1, "delete", None, None))
+    rows += rng.sample(rows, 60) + [(None, 5, 0, "upsert", "x", 1), (3, None, 0, "upsert", "x", 1)]
+    frame = lambda part: spark.createDataFrame(part, "k int, seq long, step int, op string, a string, b long").repartition(3)
+    run = lambda state, part: spark.createDataFrame(changes.apply_feed(state, frame(part), ["k"], ["a", "b"], step="step").collect(), STATE)
+    STATE = "k int, a struct<v:string,s:long,p:int>, b struct<v:long,s:long,p:int>, _write struct<v:boolean,s:long,p:int>, deleted struct<s:long,p:int>"
+    wanted = sorted(map(tuple, changes.apply_changes(frame(rows), ["k"], ["a", "b"], step="step").collect()))
+    in_order = ([r for r in rows if (r[1] or 0) < 200], [r for r in rows if (r[1] or 0) >= 200])
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    for first, second in (in_order, in_order[::-1], (mixed[:230], mixed[230:])):
+        state = run(run(run(None, first), second), second)
+        assert sorted(map(tuple, changes.current(state, ["k"], ["a", "b"]).collect())) == wanted
+        n = changes.skipped(state, frame(second), ["k"], ["a", "b"], step="step").first()
+        assert 0 < n.n_skipped <= n.n_changes
+    whole = run(None, [r for r in rows if r[3] == "delete"][:1] + [(1, 900, 0, "upsert", "z", 1)])
+    assert changes.skipped(whole, frame([(1, 900, 0, "upsert", "z", 1)]), ["k"], ["a", "b"], step="step").first().n_skipped == 1
