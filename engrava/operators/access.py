@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from engrava.session import materialize
+
 #: Range of sequence numbers in one chunk; a sequence number is unique, so this bounds its rows.
 CHUNK = 100_000
 
@@ -54,7 +56,7 @@ def stream_lift(log: DataFrame) -> DataFrame:
     The first access of a tenant is never counted by the marginal predictor; without a
     predictable step all rates are 0.
     """
-    every = steps(log)
+    every = materialize(steps(log), "steps")
     moves = every.filter("prev is not null")
     markov = best_before(moves, ["tenant", "prev"], "item").groupBy("tenant").agg(
         F.count("best").alias("predictable"), F.count_if(F.col("best") == F.col("item")).alias("hits")
@@ -105,7 +107,7 @@ def zipf_weights(items: DataFrame, s: float, item: str = "id") -> DataFrame:
     """
     keyed = items.select(item).distinct().withColumn("_k", F.md5(F.col(item).cast("string")))
     parts = keyed.repartitionByRange("_k", item).sortWithinPartitions("_k", item)
-    numbered = parts.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    numbered = materialize(parts.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranks")
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from engrava.functions.text import compact_age, html_unescape, task_suffix
+
 TERMINAL = ("done", "cancel")
 STATES = ("pending", "claimed", "overdue", *TERMINAL)
 
@@ -146,8 +148,6 @@ def collectable(stored: DataFrame, keep: DataFrame) -> DataFrame:
 
 def kanban(messages: DataFrame) -> DataFrame:
     """Per tenant and unescaped area: first and last message, number of messages, agents, open questions and replies."""
-    from engrava.functions.text import html_unescape
-
     rows = messages.withColumn("area", html_unescape(F.coalesce("area", F.lit(""))))
     return rows.groupBy("tenant", "area").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_messages"),
@@ -158,3 +158,109 @@ def kanban(messages: DataFrame) -> DataFrame:
 def promote(messages: DataFrame) -> DataFrame:
     """Messages as memory texts '[from area#seq] text' tagged 'promoted'."""
     return messages.select("tenant", "seq", F.concat(F.lit("[from "), F.coalesce("area", F.lit("")), F.lit("#"), F.col("seq").cast("string"), F.lit("] "), F.coalesce("text", F.lit(""))).alias("text"), F.array(F.lit("promoted")).alias("tags"))
+
+
+def combined(messages: DataFrame, images: DataFrame) -> DataFrame:
+    """Messages and image references as one index."""
+    return messages.unionByName(images)
+
+
+def rebuild(messages: DataFrame, images: DataFrame, clears: DataFrame, states: DataFrame, pins: DataFrame, now_ns: int) -> dict[str, DataFrame]:
+    """The index after a start: live ``messages``, ``tasks`` with their state, ``pins`` (tenant, blob_id).
+
+    Expired messages are left out, then cleared ones; a task without a state is pending, a
+    state without a live task is ignored.
+    """
+    live = after_clears(unexpired(combined(messages, images), now_ns), clears)
+    return {
+        "messages": live,
+        "tasks": task_states(live.filter("kind = 'task'"), states),
+        "pins": last_wins(pins, ["tenant", "blob_id"]).filter("on").select("tenant", "blob_id"),
+    }
+
+
+def sweep_all(index: dict[str, DataFrame], beats: DataFrame, now_ns: int, presence_age_ns: int, max_age_ns: int, last_n: int) -> dict[str, DataFrame]:
+    """One pass of the sweeper: leases and deadlines, expiry, stale presence, retention; a dropped task loses its state.
+
+    ``nudges`` has (tenant, seq, area, target, n): messages whose task changed its state, once for each change, also if the message goes.
+    """
+    swept = sweep(index["tasks"], now_ns)
+    at = index["messages"].select("tenant", "seq", "area", "target")
+    nudges = swept.filter("nudges > 0").join(at, ["tenant", "seq"]).select("tenant", "seq", "area", "target", F.col("nudges").alias("n"))
+    kept = retained(unexpired(index["messages"], now_ns), now_ns, max_age_ns, last_n)
+    tasks = swept.drop("nudges").join(kept.select("tenant", "seq"), ["tenant", "seq"], "left_semi")
+    return {"messages": kept, "tasks": tasks, "presence": presence(beats, now_ns, presence_age_ns), "nudges": nudges}
+
+
+def posted(requests: DataFrame) -> DataFrame:
+    """Posts as records: kind 'note' unless given, 'image' with a blob; ``error`` tells what is missing."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    image = ~blank("blob_id")
+    error = F.when(image & (blank("area") | blank("sender") | blank("mime")), "area, from, blob and mime are required for an image").when(
+        ~image & (blank("area") | blank("sender") | blank("text")), "area, from and text are required"
+    )
+    kind = F.when(image, "image").when(blank("kind"), "note").otherwise(F.col("kind"))
+    return requests.withColumn("kind", kind).withColumn("error", error)
+
+
+def cleared(messages: DataFrame, clears: DataFrame) -> DataFrame:
+    """(tenant, area, seq, dropped): of each clear, how many messages it drops that no earlier clear has dropped."""
+    marks = clears.select("tenant", "area", F.col("seq").alias("cut")).distinct()
+    before = Window.partitionBy("tenant", "area").orderBy("cut")
+    ranges = marks.withColumn("since", F.coalesce(F.lag("cut").over(before), F.lit(0)))
+    held = messages.select("tenant", "area", F.col("seq").alias("at"))
+    hit = (F.col("at") >= F.col("since")) & (F.col("at") < F.col("cut"))
+    counts = ranges.join(held, ["tenant", "area"], "left").groupBy("tenant", "area", "cut").agg(F.count_if(hit).alias("dropped"))
+    return counts.select("tenant", "area", F.col("cut").alias("seq"), "dropped")
+
+
+def get(messages: DataFrame, tenant: int, seq: int, area: str | None = None) -> DataFrame:
+    """The message with a sequence number, of the tenant only; with ``area`` also of that area only."""
+    rows = messages.filter((F.col("tenant") == tenant) & (F.col("seq") == seq))
+    return rows if area is None else rows.filter(F.col("area") == area)
+
+
+def reached(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """(subscriber, tenant, seq): messages a subscriber hears: sent to its target, or in one of its areas.
+
+    ``subscribers`` has (subscriber, tenant, target, areas).
+    """
+    own = subscribers.select("subscriber", "tenant", F.explode(F.array(F.col("target"))).alias("target")).filter("target <> ''")
+    areas = subscribers.select("subscriber", "tenant", F.explode("areas").alias("area"))
+    rows = messages.select("tenant", "seq", "target", "area")
+    by_target = rows.join(own, ["tenant", "target"]).select("subscriber", "tenant", "seq")
+    return by_target.union(rows.join(areas, ["tenant", "area"]).select("subscriber", "tenant", "seq")).distinct()
+
+
+def cursors(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """(subscriber, tenant, seq): the highest sequence number each subscriber has to hear of."""
+    return reached(messages, subscribers).groupBy("subscriber", "tenant").agg(F.max("seq").alias("seq"))
+
+
+def rendered(messages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(tenant, seq, line): messages as '#seq [kind] from→target @area: text' with the state of their task."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    state = tasks.select("tenant", "seq", "state", "holder", "lease_until", "deadline")
+    target = F.when(text("target") != "", F.concat(F.lit("→"), F.col("target"))).otherwise("")
+    head = F.concat(F.lit("#"), F.col("seq").cast("string"), F.lit(" ["), text("kind"), F.lit("] "), text("sender"), target, F.lit(" @"), text("area"), F.lit(": "), text("text"))
+    return messages.join(state, ["tenant", "seq"], "left").select("tenant", "seq", F.concat(head, task_suffix("state", "holder", "lease_until", "deadline")).alias("line"))
+
+
+def presence_lines(slots: DataFrame, now_ns: int) -> DataFrame:
+    """(tenant, agent, line, age_s): '~ agent [area]: status (age)', by agent."""
+    age = F.greatest(F.floor((F.lit(now_ns) - F.col("ts_ns")) / 1_000_000_000), F.lit(0))
+    area = F.when(F.coalesce("area", F.lit("")) != "", F.concat(F.lit(" ["), F.col("area"), F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("~ "), F.col("agent"), area, F.lit(": "), F.col("status"), F.lit(" ("), compact_age(age), F.lit(")"))
+    return slots.select("tenant", "agent", line.alias("line"), age.cast("long").alias("age_s")).orderBy("tenant", "agent")
+
+
+def board(messages: DataFrame) -> DataFrame:
+    """(tenant, place, area, agents, n_messages): areas in order of first message, each with its agents in order of first message."""
+    rows = messages.withColumn("area", html_unescape(F.coalesce("area", F.lit("")))).withColumn("agent", F.trim(F.coalesce("sender", F.lit(""))))
+    agents = rows.filter("agent <> ''").groupBy("tenant", "area", "agent").agg(F.min("seq").alias("first")).groupBy("tenant", "area").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("first", "agent"))), lambda x: x["agent"]).alias("agents")
+    )
+    areas = rows.groupBy("tenant", "area").agg(F.min("seq").alias("first"), F.count("*").alias("n_messages"))
+    place = F.row_number().over(Window.partitionBy("tenant").orderBy("first"))
+    joined = areas.withColumn("place", place).join(agents, ["tenant", "area"], "left")
+    return joined.select("tenant", "place", "area", F.coalesce("agents", F.array().cast("array<string>")).alias("agents"), "n_messages")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engrava.functions.vec import dot, norm, total
+from engrava.operators.knn import query_blocks, squared, vectors_of
 
 
 def coarse_rank_of_truth(probes: DataFrame, truth: DataFrame, cells: DataFrame) -> DataFrame:
@@ -60,3 +65,37 @@ def tau_extrema(pairs: DataFrame) -> DataFrame:
     within = F.max(F.when(F.col("same"), F.col("dist")))
     across = F.min(F.when(~F.col("same"), F.col("dist")))
     return pairs.agg(within.alias("max_within"), across.alias("min_across"), F.when(within < across, (within + across) / 2).alias("tau"))
+
+
+def _extrema(block, dim: int):
+    schema = pa.schema([("max_within", pa.float64()), ("min_across", pa.float64())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, groups, q = block.value
+        within, across = -np.inf, np.inf
+        for batch in stream:
+            at, x = vectors_of(batch.column(1), dim)
+            own, label = batch.column(0).to_numpy()[at], batch.column(2).to_numpy()[at]
+            for lo in range(0, len(q) if len(x) else 0, 512):
+                d = squared(q[lo : lo + 512], x)
+                other = ids[lo : lo + 512, None] != own[None]
+                same = groups[lo : lo + 512, None] == label[None]
+                within = max(within, np.where(same & other, d, -np.inf).max())
+                across = min(across, np.where(~same, d, np.inf).min())
+        found = [None if not np.isfinite(v) else float(v) for v in (within, across)]
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.float64()) for v in found], schema=schema)
+
+    return run
+
+
+def tau_probe(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str, group_col: str, dim: int) -> DataFrame:
+    """``tau_extrema`` of all pairs of a query and another base row; each task hands on two numbers a block of queries."""
+    columns = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(group_col).cast("long").alias("g"))
+    rows, found = columns(base).filter("id is not null and g is not null"), None
+    for table in query_blocks(columns(queries).filter("id is not null and g is not null")):
+        at, q = vectors_of(table.column("v").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64())), dim)
+        value = table.column("id").to_numpy()[at], table.column("g").to_numpy()[at], q
+        part = rows.mapInArrow(_extrema(base.sparkSession.sparkContext.broadcast(value), dim), "max_within double, min_across double")
+        found = part if found is None else found.unionByName(part)
+    within, across = F.max("max_within"), F.min("min_across")
+    return found.agg(within.alias("max_within"), across.alias("min_across"), F.when(within < across, (within + across) / 2).alias("tau"))

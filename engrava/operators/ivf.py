@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from engrava.operators.knn import squared, vectors_of
+from engrava.operators.knn import query_blocks, squared, vectors_of
 from engrava.operators.quant import Codebooks, check_shape, kmeans_pp, lloyd, nearest_rows, sample_matrix, train_codebooks
 
 
+#: Queries broadcast at once.
+QUERY_BLOCK = 4096
+
+
 @dataclass(frozen=True)
 class IvfConfig:
     dim: int
@@ -65,9 +69,9 @@ def _entries(coarse: np.ndarray, books: Codebooks, dim: int):
     return run
 
 
-def _scan(asked, coarse: np.ndarray, books: Codebooks, k: int):
-    """Best k entries per query among those in its probed cells."""
-    schema = pa.schema([("qid", pa.int64()), ("hash", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())])
+def _scan(asked, coarse: np.ndarray, books: Codebooks, k: int, tolerance: int | None = None):
+    """Best k entries per query among those in its probed cells (and whose code is within the tolerance of the query's own)."""
+    schema = pa.schema([("qid", pa.int64()), ("hash", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64()), ("hamming", pa.int32())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q, depth = asked.value
@@ -84,18 +88,24 @@ def _scan(asked, coarse: np.ndarray, books: Codebooks, k: int):
                 here, who = np.flatnonzero(cells == cell), np.flatnonzero(rank[:, cell] < depth)
                 if not len(who):
                     continue
-                d = books.adc(q[who] - coarse[cell], codes[here])
+                apart = q[who] - coarse[cell]
+                d, far = books.adc(apart, codes[here]), None
+                if tolerance is not None:
+                    far = (books.encode(apart)[:, None] != codes[here][None]).sum(2)
+                    d = np.where(far <= tolerance, d, np.inf)
                 keep = min(k, d.shape[1])
                 limit = np.partition(d, keep - 1, axis=1)[:, keep - 1]
                 i, j = np.nonzero(d <= limit[:, None])
-                out.append((who[i], here[j], d[i, j]))
+                fine = np.isfinite(d[i, j])
+                i, j = i[fine], j[fine]
+                out.append((who[i], here[j], d[i, j], far[i, j] if far is not None else np.zeros(len(i), np.int64)))
             if not out:
                 continue
-            i, j, d = (np.concatenate(c) for c in zip(*out, strict=True))
-            best = np.lexsort((j, d, i))
-            i, j, d = i[best], j[best], d[best]
-            top = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k + 8
-            yield pa.RecordBatch.from_arrays([pa.array(qids[i[top]]), batch.column(0).take(pa.array(j[top])), batch.column(1).take(pa.array(j[top])), pa.array(d[top])], schema=schema)
+            i, j, d, h = (np.concatenate(c) for c in zip(*out, strict=True))
+            best = np.lexsort((batch.column(1).to_numpy()[j], d, i))
+            i, j, d, h = i[best], j[best], d[best], h[best]
+            top = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
+            yield pa.RecordBatch.from_arrays([pa.array(qids[i[top]]), batch.column(0).take(pa.array(j[top])), batch.column(1).take(pa.array(j[top])), pa.array(d[top]), pa.array(h[top].astype(np.int32))], schema=schema)
 
     return run
 
@@ -135,32 +145,42 @@ class IvfIndex:
         status = F.when(F.col("vec_id") == F.col("prior"), "Inserted").otherwise("ExactDuplicate")
         return rows.join(known.select("hash", "prior"), "hash").select("vec_id", "hash", status.alias("status"), "prior")
 
-    def _asked(self, queries: DataFrame, id_col: str, vec_col: str, depth_col: str | None, nprobe: int):
-        depth = F.lit(nprobe) if depth_col is None else F.col(depth_col).cast("int")
-        table = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("v"), depth.alias("p")).orderBy("qid").toArrow()
+    def _asked(self, table: pa.Table):
         at, q = vectors_of(table.column("v").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64())), self.config.dim)
         depth = np.minimum(table.column("p").to_numpy()[at], len(self.coarse)) if len(at) else np.empty(0, np.int64)
         return table.column("qid").to_numpy()[at], q, depth
 
+    def _scanned(self, queries: DataFrame, nprobe: int, k: int, id_col: str, vec_col: str, depth_col: str | None, tolerance: int | None = None) -> DataFrame:
+        """The best k of each task and query, block by block of queries; cells no query probes are not read."""
+        spark = self.entries.sparkSession
+        depth = F.lit(nprobe) if depth_col is None else F.col(depth_col).cast("int")
+        rows = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("v"), depth.alias("p"))
+        entries, found = self.entries.select("hash", "vec_id", "cell", "code"), None
+        for table in query_blocks(rows, "qid", QUERY_BLOCK):
+            asked = self._asked(table)
+            part = entries
+            if len(asked[1]):
+                probed = probe(asked[1], self.coarse, int(asked[2].max()))
+                cells = np.unique(probed[np.arange(probed.shape[1])[None] < asked[2][:, None]])
+                if len(cells) < len(self.coarse):
+                    part = entries.filter(F.col("cell").isin(cells.tolist()))  # at most nlist values
+            part = part.mapInArrow(_scan(spark.sparkContext.broadcast(asked), self.coarse, self.books, k, tolerance), "qid long, hash long, vec_id long, dist double, hamming int")
+            found = part if found is None else found.unionByName(part)
+        return found
+
     def search(self, queries: DataFrame, nprobe: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding", depth_col: str | None = None) -> DataFrame:
         """(qid, rank, hash, vec_id, dist) by (dist, vec_id); ``depth_col`` gives each query its own number of cells.
 
-        ``queries`` is one block: a few thousand rows that one task can hold.
+        Queries go in blocks of ``QUERY_BLOCK``, so any number of them may be asked.
         """
-        spark = self.entries.sparkSession
         if k <= 0 or nprobe <= 0:
-            return spark.createDataFrame([], "qid long, rank int, hash long, vec_id long, dist double")
-        asked = self._asked(queries, id_col, vec_col, depth_col, nprobe)
-        entries = self.entries.select("hash", "vec_id", "cell", "code")
-        if len(asked[1]):
-            cells = np.unique(np.concatenate([p[:d] for p, d in zip(probe(asked[1], self.coarse, len(self.coarse)), asked[2], strict=True)]))
-            entries = entries.filter(F.col("cell").isin(cells.tolist()))
-        found = entries.mapInArrow(_scan(spark.sparkContext.broadcast(asked), self.coarse, self.books, k), "qid long, hash long, vec_id long, dist double")
+            return self.entries.sparkSession.createDataFrame([], "qid long, rank int, hash long, vec_id long, dist double")
+        found = self._scanned(queries, nprobe, k, id_col, vec_col, depth_col)
         order = Window.partitionBy("qid").orderBy("dist", "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "hash", "vec_id", "dist")
 
     def rerank(self, hits: DataFrame, queries: DataFrame, originals: DataFrame, k: int, rerank_k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-        """Exact distances for the first ``rerank_k`` hits, which are ordered anew by (dist, vec_id); the tail stays.
+        """Exact distances for the first ``rerank_k`` hits, which are ordered anew by (dist, hash); the tail stays.
 
         Hits whose original is missing keep their estimate. Without a positive rerank_k the hits stay as they are.
         """
@@ -175,7 +195,7 @@ class IvfIndex:
             .select("qid", "hash", "vec_id", F.coalesce(l2sq("_q", "_v"), "dist").alias("dist"), F.lit(0).alias("tail"), F.lit(0).alias("_at"))
         )
         tail = hits.filter(F.col("rank") > rerank_k).select("qid", "hash", "vec_id", "dist", F.lit(1).alias("tail"), F.col("rank").alias("_at"))
-        order = Window.partitionBy("qid").orderBy("tail", "_at", "dist", "vec_id")
+        order = Window.partitionBy("qid").orderBy("tail", "_at", "dist", "hash", "vec_id")
         return exact.unionByName(tail).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "hash", "vec_id", "dist")
 
     def tiered(self, queries: DataFrame, tier: DataFrame, nprobe: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -186,27 +206,22 @@ class IvfIndex:
         size = resident.count()
         if not size:
             return self.search(queries, nprobe, k, id_col, vec_col)
-        coded = self.search(queries, nprobe, k + size, id_col, vec_col).join(resident.select(F.col(id_col).alias("vec_id")), "vec_id", "left_anti")
+        # Residents never come from codes, so k of the others are enough.
+        outside = IvfIndex(self.config, self.coarse, self.books, self.entries.join(resident.select(F.col(id_col).alias("vec_id")), "vec_id", "left_anti"))
+        coded = outside.search(queries, nprobe, k, id_col, vec_col)
         asked = queries.withColumn(id_col, -1 - F.col(id_col))  # a query may find itself here
         exact = nearest(resident, asked, k, id_col, vec_col, dim=self.config.dim)
         exact = exact.select((-1 - F.col("qid")).alias("qid"), F.col("id").alias("vec_id"), "dist")
-        both = coded.select("qid", "vec_id", "dist").unionByName(exact)
-        order = Window.partitionBy("qid").orderBy("dist", "vec_id")
-        ranked = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        return ranked.join(self.entries.select("vec_id", "hash"), "vec_id").select("qid", "rank", "hash", "vec_id", "dist")
+        exact = exact.join(self.entries.select("vec_id", "hash"), "vec_id")
+        both = coded.select("qid", "hash", "vec_id", "dist").unionByName(exact.select("qid", "hash", "vec_id", "dist"))
+        order = Window.partitionBy("qid").orderBy("dist", "hash", "vec_id")
+        return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "hash", "vec_id", "dist")
 
     def recall(self, queries: DataFrame, tolerance: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
         """(qid, vec_id, hamming, dist): nearest entry of the query's own cell whose code differs in at most ``tolerance`` parts."""
-        from engrava.functions.vec import hamming
-
-        own = queries.select(F.col(id_col).cast("long").alias("hash"), F.col(id_col).cast("long").alias("qid"), vec_col)
-        own = own.mapInArrow(_entries(self.coarse, self.books, self.config.dim), "hash long, vec_id long, cell int, code array<short>")
-        own = own.select(F.col("vec_id").alias("qid"), "cell", F.col("code").alias("qcode"))
-        near = self.entries.join(own, "cell").withColumn("hamming", hamming("code", "qcode")).filter(F.col("hamming") <= tolerance)
-        coded = self.search(queries, 1, 1 << 30, id_col, vec_col).select("qid", "vec_id", "dist")
+        found = self._scanned(queries, 1, 1, id_col, vec_col, None, tolerance)
         order = Window.partitionBy("qid").orderBy("dist", "vec_id")
-        best = near.select("qid", "vec_id", "hamming").join(coded, ["qid", "vec_id"]).withColumn("_r", F.row_number().over(order))
-        return best.filter("_r = 1").select("qid", "vec_id", "hamming", "dist")
+        return found.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("qid", "vec_id", "hamming", "dist")
 
     def save(self, path: str) -> None:
         """Write models and entries as tables below ``path``."""

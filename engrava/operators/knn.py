@@ -1,4 +1,4 @@
-"""Exact nearest neighbours, recall with gap cut, duplicate lookup and recall metrics.
+"""Exact nearest neighbours, pairs within a radius, recall with gap cut, duplicate lookup and recall metrics.
 
 Queries go in blocks of bounded size to where the base lies; each task keeps its best k per
 query, so only k rows a query and task are shuffled. Base rows with a null or wrongly sized
@@ -10,13 +10,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 4096
+from engrava.session import materialize
+
+#: Queries broadcast at once, and rows of one side of a compared block.
+QUERY_BLOCK = 32768
+PAIR_BLOCK = 2048
 
 
 def vectors_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +41,19 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
+def query_blocks(queries: DataFrame, key: str = "id", size: int | None = None) -> Iterator[pa.Table]:
+    """The queries as Arrow tables of at most about ``size`` rows each, by hash of their key."""
+    size = size or QUERY_BLOCK
+    n = queries.count()
+    if n <= size:
+        yield queries.toArrow()
+        return
+    blocks = -(-n * 5 // (4 * size))
+    queries = materialize(queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))), "queries")
+    for b in range(blocks):
+        yield queries.filter(F.col("_block") == b).drop("_block").toArrow()
+
+
 def _best(block, k: int, dim: int, scoped: bool):
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
 
@@ -81,28 +99,54 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     group = F.lit(0) if group_col is None else F.col(group_col)
     columns = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), group.cast("long").alias("g")]
     rows = base.select(*columns).filter("id is not null and v is not null and g is not null")
-    asked = queries.select(*columns).filter("id is not null and v is not null and g is not null")
-    found, block = None, []
-
-    def search(block):
-        table = pa.Table.from_pylist(block, pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("g", pa.int64())])).combine_chunks()
-        at, q = vectors_of(table.column("v").combine_chunks(), dim)
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), group.cast("long").alias("g"))
+    asked = asked.filter("id is not null and v is not null and g is not null")
+    found = None
+    for table in query_blocks(asked):  # each block of bounded size becomes a scan of the base
+        at, q = vectors_of(table.column("v").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64())), dim)
         value = (table.column("id").to_numpy()[at], table.column("g").to_numpy()[at], q)
-        return rows.mapInArrow(_best(spark.sparkContext.broadcast(value), k, dim, group_col is not None), "qid long, id long, dist double")
-
-    # One block of queries at a time reaches the driver; each becomes a scan of the base.
-    for row in asked.toLocalIterator(prefetchPartitions=True):
-        block.append({"id": row["id"], "v": row["v"], "g": row["g"]})
-        if len(block) == QUERY_BLOCK:
-            part, block = search(block), []
-            found = part if found is None else found.unionByName(part)
-    if block or found is None:
-        part = search(block)
+        part = rows.mapInArrow(_best(spark.sparkContext.broadcast(value), k, dim, group_col is not None), "qid long, id long, dist double")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("qid").orderBy("dist", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
 
+def _near(radius: float, dim: int):
+    schema = {"a": "int64", "b": "int64", "dist": "float64"}
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(frame["v"].tolist(), float).reshape(len(frame), dim)
+        ids, left, right = frame["id"].to_numpy(), frame["h"].to_numpy() == frame["i"].to_numpy(), frame["h"].to_numpy() == frame["j"].to_numpy()
+        a, b, out = np.flatnonzero(left), np.flatnonzero(right), []
+        for lo in range(0, len(a), 512):
+            some = a[lo : lo + 512]
+            i, j = np.nonzero(squared(x[some], x[b]) < radius + 1e-6)
+            i, j = some[i], b[j]
+            keep = (ids[i] < ids[j]) if frame["i"].iloc[0] == frame["j"].iloc[0] else ids[i] != ids[j]
+            i, j = i[keep], j[keep]
+            dist = ((x[i] - x[j]) ** 2).sum(1)
+            fine = dist < radius
+            out.append((np.minimum(ids[i], ids[j])[fine], np.maximum(ids[i], ids[j])[fine], dist[fine]))
+        if not out:
+            return pd.DataFrame({"a": [], "b": [], "dist": []}).astype(schema)
+        return pd.DataFrame(dict(zip(schema, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def pairs_within(rows: DataFrame, radius: float, id_col: str, vec_col: str, group_col: str, dim: int = 64) -> DataFrame:
+    """(a, b, dist), a < b: rows of one group whose squared distance is below ``radius``.
+
+    Groups are compared in blocks of bounded size, so a group of any size spreads over tasks.
+    """
+    data = rows.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("long").alias("g"), F.col(vec_col).cast("array<double>").alias("v"))
+    data = data.filter(F.col("id").isNotNull() & F.col("g").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    sizes = data.groupBy("g").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("n"))
+    spread = data.join(sizes, "g").withColumn("h", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    spread = spread.select("id", "g", "v", "h", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"))
+    return spread.groupBy("g", "i", "j").applyInPandas(_near(radius, dim), "a long, b long, dist double")
+
+
 def gap_cut(ranked: DataFrame, gap: float) -> DataFrame:
     """Rows before the first whose distance exceeds the one before by more than the factor ``gap``; gap <= 1 keeps all."""
     if gap <= 1:

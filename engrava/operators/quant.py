@@ -108,6 +108,37 @@ def lloyd_distributed(vectors: DataFrame, centroids: np.ndarray, iterations: int
     return c
 
 
+def _partial_parts(books, dim: int):
+    schema = pa.schema([("at", pa.int32()), ("total", pa.float64()), ("n", pa.int64())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = books.value
+        sums, n = np.zeros_like(c), np.zeros(c.shape[:2], np.int64)
+        for batch in stream:
+            _, x = vectors_of(batch.column(0), dim)
+            parts = x.reshape(len(x), c.shape[0], -1)
+            for m in range(c.shape[0] if len(x) else 0):
+                at, _ = nearest_rows(parts[:, m], c[m])
+                np.add.at(sums[m], at, parts[:, m])
+                n[m] += np.bincount(at, minlength=c.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(c.size, dtype=np.int32)), pa.array(sums.ravel()), pa.array(np.repeat(n.ravel(), c.shape[2]))], schema=schema)
+
+    return run
+
+
+def lloyd_parts(vectors: DataFrame, books: Codebooks, iterations: int, vec_col: str = "residual", digits: int = 9) -> Codebooks:
+    """Lloyd steps of all parts' codebooks at once over all rows: one pass a step. Empty entries keep their value."""
+    spark, c = vectors.sparkSession, books.values.astype(np.float64)
+    for _ in range(iterations):
+        sums = vectors.select(vec_col).mapInArrow(_partial_parts(spark.sparkContext.broadcast(c), c.shape[0] * c.shape[2]), "at int, total double, n long")
+        flat = c.ravel().copy()
+        for r in sums.groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():  # as many lines as the codebooks have numbers
+            if r["n"]:
+                flat[r["at"]] = round(r["total"] / r["n"], digits)
+        c = flat.reshape(c.shape)
+    return Codebooks(c)
+
+
 def _assign(centroids, dim: int):
     schema = pa.schema([("vec_id", pa.int64()), ("cell", pa.int32()), ("dist", pa.float64())])
 

@@ -7,6 +7,8 @@ take Lloyd steps over all rows, rounded after each step.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,7 @@ from engrava.operators import diag, knn, quant, tune
 from engrava.operators.access import hot_set, popularity, zipf_weights
 from engrava.operators.galaxy import galaxy, heat, modal_labels
 from engrava.operators.ivf import IvfConfig, IvfIndex
-from engrava.session import materialize, table
+from engrava.session import delete_at_exit, shared_dir, table
 
 DIM, NLIST, M, K, STEPS = 64, 16, 8, 16, 2
 NPROBE, TOP = 4, 10
@@ -123,20 +125,25 @@ def _books(spark, b, c):
     r = _residuals(spark, b, c).select("vec_id", "residual")
     first = r.filter(F.col("vec_id") < K).orderBy("vec_id").select("residual").collect()
     start = np.array([x[0] for x in first], float).reshape(len(first), M, DIM // M)
-    r = materialize(r, "residuals")
-    books = [
-        quant.lloyd_distributed(r.select(F.slice("residual", m * (DIM // M) + 1, DIM // M).alias("part")), start[:, m], 1, "part") for m in range(M)
-    ]
-    return quant.Codebooks(np.stack(books))
+    return quant.lloyd_parts(r, quant.Codebooks(start.transpose(1, 0, 2)), 1)
+
+
+_built: dict[tuple[str, str], IvfIndex] = {}
 
 
 def _index(spark, d):
+    """The index over a table, built once per session: models kept, entries stored by cell in the shared folder."""
+    key = spark.sparkContext.applicationId, d
     b = base(spark, d)
-    c = _coarse(b)
-    index = IvfIndex(IvfConfig(DIM, NLIST, M, K), c, _books(spark, b, c))
-    index.add(b)
-    index.entries = materialize(index.entries, "entries")
-    return b, index
+    if key not in _built:
+        c = _coarse(b)
+        index = IvfIndex(IvfConfig(DIM, NLIST, M, K), c, _books(spark, b, c))
+        index.add(b)
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        delete_at_exit(spark, path)
+        index.save(path)
+        _built[key] = IvfIndex.load(spark, path)
+    return b, _built[key]
 
 
 def pq_encode(spark, d):
@@ -283,14 +290,9 @@ def pearson_features(spark, d):
 
 
 def tau_probe(spark, d):
-    """Extrema of distances between the queries, within and across labels."""
-    q = asked(base(spark, d)).select("vec_id", "embedding", "label")
-    # The stated query set against itself, in blocks of the exact search; every pair comes out once.
-    n = q.count()
-    near = knn.nearest(q, q, max(n - 1, 1)).filter("qid < id")
-    lab = q.select("vec_id", "label")
-    pairs = near.join(lab.toDF("qid", "la"), "qid").join(lab.toDF("id", "lb"), "id").select((F.col("la") == F.col("lb")).alias("same"), "dist")
-    return _round(diag.tau_extrema(pairs), "max_within", "min_across", "tau")
+    """Extrema of distances between the queries and all other vectors, within and across labels."""
+    b = base(spark, d).select("vec_id", "embedding", "label")
+    return _round(diag.tau_probe(b, asked(b), "vec_id", "embedding", "label", DIM), "max_within", "min_across", "tau")
 
 
 _GRID = {"nlist": [32, 64], "m": [48, 96], "k": [64, 256], "nprobe": [8, 16, 32], "rerank": [0, 50, 200]}
@@ -430,7 +432,7 @@ SELECT round(avg(p), 6) AS parallel, round(avg(w - p), 6) AS orthogonal, round(a
 n AS (SELECT r, row_number() OVER (ORDER BY dist, qid) - 1 AS i, count(*) OVER () AS n FROM o)
 SELECT CAST(least(i // (n // 10), 9) AS INTEGER) AS decile, count(*) AS n, round(avg(CASE WHEN r > 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS miss_rate FROM n GROUP BY 1""",
     "pearson_features": _FEATURES + " SELECT round(corr(f0, f1), 6) AS pearson FROM f",
-    "tau_probe": _E + """, p AS (SELECT a.label = b.label AS same, """ + _dist("a.v", "b.v") + """ AS dist FROM q a JOIN q b ON a.qid < b.qid), x AS (SELECT max(dist) FILTER (same) AS w, min(dist) FILTER (NOT same) AS a FROM p)
+    "tau_probe": _E + """, p AS (SELECT a.label = b.label AS same, """ + _dist("a.v", "b.v") + """ AS dist FROM q a JOIN e b ON a.qid <> b.vec_id), x AS (SELECT max(dist) FILTER (same) AS w, min(dist) FILTER (NOT same) AS a FROM p)
 SELECT round(w, 6) AS max_within, round(a, 6) AS min_across, CASE WHEN w < a THEN round((w + a) / 2, 6) END AS tau FROM x""",
     "cost_proxy": """WITH g AS (SELECT nlist, m, k, nprobe, rerank, (SELECT count(*) FROM embeddings)::DOUBLE AS n FROM (SELECT unnest([32, 64]) AS nlist), (SELECT unnest([48, 96]) AS m), (SELECT unnest([64, 256]) AS k), (SELECT unnest([8, 16, 32]) AS nprobe), (SELECT unnest([0, 50, 200]) AS rerank)),
 c AS (SELECT *, 2.0::DOUBLE * 768 * nlist + 2.0::DOUBLE * 768 * k * nprobe + 2.0::DOUBLE * m * n * nprobe / nlist + 2.0::DOUBLE * 768 * rerank AS cost, 2.0::DOUBLE * 768 * 64 + 2.0::DOUBLE * 768 * 64 * 32 + 2.0::DOUBLE * 96 * n * 32 / 64 + 2.0::DOUBLE * 768 * 200 AS preset FROM g)
