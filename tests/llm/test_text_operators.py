@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from engrava.llm import packing, personal, textkernel
+from engrava.llm import near_duplicates, packing, personal, textkernel
 from engrava.llm.components import connected_components
 from engrava.llm.leakage import align, leaks
 from engrava.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
@@ -164,8 +164,9 @@ def brute_pairs(texts, similarity, n):
     return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9}
 
 
-@pytest.mark.parametrize(("seed", "similarity", "n"), [(0, 0.6, 3), (1, 0.8, 5)])
-def test_near_duplicates_match_brute_force(spark, seed, similarity, n):
+@pytest.mark.parametrize(("seed", "similarity", "n", "hot"), [(0, 0.6, 3, 4096), (1, 0.8, 5, 4096), (2, 0.6, 3, 4)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, seed, similarity, n, hot):
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
     rng = random.Random(seed)
     vocabulary = [f"v{i}" for i in range(40)]
     texts = []
@@ -198,6 +199,14 @@ def test_near_duplicates_match_brute_force(spark, seed, similarity, n):
     assert groups[500].n_copies == 30 and {groups[500 + i].class_id for i in range(30)} == {500}
 
 
+def test_an_id_with_two_texts_stands_for_one_of_them(spark):
+    a, b = "one two three four five six seven", "red green blue white black grey pink"
+    texts = [(1, a), (2, a + " eight"), (3, b), (4, b + " brown"), (5, b)]
+    df = spark.createDataFrame([*texts, (1, b)], "id long, text string")
+    got = {tuple(r) for r in near_duplicate_pairs(df, 0.6, 3).collect()}
+    assert got in (brute_pairs(texts, 0.6, 3), brute_pairs([(1, b), *texts[1:]], 0.6, 3))
+
+
 def test_no_near_duplicates_in_nothing(spark):
     empty = spark.createDataFrame([], "id long, text string")
     assert near_duplicate_pairs(empty, 0.6, 3).count() == 0 and near_duplicate_groups(empty).count() == 0
@@ -265,6 +274,11 @@ CASES = [
     ("owner is Vualual B. Dackgua, backup is on leave. Ask bodauhe, raenua before you restart", {("name", "Vualual B. Dackgua"), ("name", "bodauhe, raenua")}),
     ("Leller Gallless wrote it; L. Gallless / 202 555 0117", {("name", "Leller Gallless"), ("name", "L. Gallless"), ("phone", "202 555 0117")}),
     ("agent-raenua claims the gallless scan", set()),
+    ("forward this to Maria Gonzalez. I met John Smith yesterday", {("name", "Maria Gonzalez"), ("name", "John Smith")}),
+    ("Ship to 12 Rue de Rivoli, Paris 75001 please, or 10 Downing Street, London SW1A 2AA", {("address", "12 Rue de Rivoli, Paris 75001"), ("address", "10 Downing Street, London SW1A 2AA")}),
+    ("call 06 12 34 56 78 now; SSN-like 078051120 it is", {("phone", "06 12 34 56 78"), ("identity", "078051120")}),
+    ("ask Kafka Broker before you, as user Payment Gateway could not", set()),
+    ("order 912345678 of part ZZ1234567 took 3112 ms per frame", set()),
     ("", set()),
 ]
 
@@ -281,12 +295,87 @@ def test_feistel_is_a_permutation(digits):
     assert len(out) == len(digits) and out.isdigit() and personal.restore_digits(out, key) == digits
 
 
+KEY = b"0123456789abcdef"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="0123456789", min_size=9, max_size=9))
+def test_identity_pseudonyms_stay_valid_or_invalid(digits):
+    out = personal._identity(digits, KEY)
+    assert personal.valid_ssn(out) == personal.valid_ssn(digits)
+    dashed = f"{digits[:3]}-{digits[3:5]}-{digits[5:]}"
+    assert personal._identity(dashed, KEY).replace("-", "") == out  # one number, one pseudonym
+    for letter in "TRWZ":
+        new = personal._identity(digits[:8] + letter, KEY)
+        assert (new[-1] == personal.dni_letter(new[:8])) == (letter == personal.dni_letter(digits[:8]))
+    assert re.fullmatch(r"[A-Z]{2}\d{7}", personal._identity("AB" + digits[:7], KEY))
+
+
+def test_pseudonyms_do_not_collide():
+    assert len({personal._identity(f"{i:08d}{personal.dni_letter(f'{i:08d}')}", KEY) for i in range(3000)}) == 3000
+    assert len({personal._phone(f"+1 202 555 {i:04d}", KEY) for i in range(3000)}) == 3000
+    assert len({personal._date(f"{1900 + i % 200}-{1 + i % 12:02d}-{1 + i % 28:02d}", KEY) for i in range(4200)}) == len({(i % 200, i % 12, i % 28) for i in range(4200)})
+    assert personal._phone("2025550101", KEY) != personal._identity("202555010", KEY)  # kinds are permuted apart
+
+
+@pytest.mark.parametrize("same", [
+    ["+44 1632 960668", "0044 1632 960668", "01632 960668", "+441632960668", "+44 (0)1632 960668"],
+    ["+1 202 555 0101", "202-555-0101", "(202) 555-0101", "1-202-555-0101"],
+    ["+33 6 12 34 56 78", "+33612345678", "0033 612 345 678"],
+])
+def test_phone_numbers_are_one_however_written(same):
+    parts = {personal.phone_parts(personal._phone(v, KEY))[:2] for v in same}
+    assert len(parts) == 1 and parts != {personal.phone_parts(same[0])[:2]} and parts.pop()[0] == personal.phone_parts(same[0])[0]
+
+
+def test_dates_of_birth_are_one_however_written():
+    texts = ["born 1980-05-12 in", "DOB: 12/05/1980", "born on May 12, 1980", "nacida el 12.05.1980", "date of birth 12 May 1980"]
+    days = {personal.read_date(re.search(r"\[DATE:(.*)\]", personal.redact(t, NAMES, KEY)[0]).group(1)) for t in texts}
+    assert len(days) == 1 and None not in days and personal.redact("released 1980-05-12", NAMES, KEY)[1] == 0
+
+
+#: Sentences of other make than the tables' texts, with what must be found in them; none served to write the rules.
+HELD_OUT = [
+    ("Could you send it to Laura Bennett before Friday?", {("name", "Laura Bennett")}),
+    ("Interview with Tomás Herrera went well.", {("name", "Tomás Herrera")}),
+    ("Dear Ms. Olivia Turner, your card arrived.", {("name", "Olivia Turner")}),
+    ("You can write to j.doe+billing@mail.company.co.uk or call (415) 555-2671.", {("email", "j.doe+billing@mail.company.co.uk"), ("phone", "(415) 555-2671")}),
+    ("Fax: +49 30 901820; her passport number CD7654321 expires soon", {("phone", "+49 30 901820"), ("identity", "CD7654321")}),
+    ("We moved to 221 Baker Street, London NW1 6XE last year", {("address", "221 Baker Street, London NW1 6XE")}),
+    ("His DNI is 12345678Z and lives at Calle Mayor 12, 28013 Madrid", {("identity", "12345678Z"), ("address", "Calle Mayor 12, 28013 Madrid")}),
+    ("Approved by Henry Cole, see build 4.12.9 and commit 1234567", {("name", "Henry Cole")}),
+    ("Reserve seats for 1500 guests at 20:30, budget 12 500 000 in total", set()),
+    ("The Data Platform team met Order Service owners about queue 5551234", set()),
+    ("Invoice 2023-11-05 for 3 x 120.50 was paid", set()),
+    ("Hauptstraße 5, 10115 Berlin is closed; ask for room 12", {("address", "Hauptstraße 5, 10115 Berlin")}),
+]
+
+
+def test_held_out_sentences():
+    wanted = [(i, *w) for i, (_, ws) in enumerate(HELD_OUT) for w in ws]
+    got = [(i, k, t[a:b]) for i, (t, _) in enumerate(HELD_OUT) for a, b, k in personal.find(t, personal.Names([]))]
+    both = len(set(wanted) & set(got))
+    assert both >= 0.85 * len(wanted) and both >= 0.85 * len(got), (set(wanted) ^ set(got))
+
+
+def test_more_names_than_a_block(spark, monkeypatch):
+    given, family = ["Anna", "Bela", "Cato", "Dora", "Emil"], ["Abbsen", "Bockel", "Crantz", "Dorfer"]
+    people = spark.createDataFrame([(g, f) for g, f in zip(given * 4, family * 5, strict=True)], "given_name string, family_name string")
+    texts = [f"then {g} {f} and {g} B. {f} came, {f}, {g} too" for g in given for f in family] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    whole = {tuple(r) for r in personal.find_personal(df, people).collect()}
+    redacted = {tuple(r) for r in personal.redact_personal(df, people, KEY).collect()}
+    monkeypatch.setattr(personal, "NAME_BLOCK", 2)
+    assert {tuple(r) for r in personal.find_personal(df, people).collect()} == whole and len(whole) == 60
+    assert {tuple(r) for r in personal.redact_personal(df, people, KEY).collect()} == redacted
+
+
 def test_redaction_links_equal_values_and_keeps_the_rest(spark):
     rows = [(1, "tel 0044 1632 960668, mornings"), (2, "Call 0044 1632 960668 or a@b.example!"), (3, None), (4, ""), (5, "nothing " * 20_000)]
     people = spark.createDataFrame([("Raenua", "Bodauhe", 1)], "given_name string, family_name string, id int")
     df = spark.createDataFrame([(*r, 0) for r in rows], "seq long, text string, n_found int")
     got = {r.id: r.text for r in personal.redact_personal(df, people, b"k" * 16).collect()}
-    token = re.search(r"\[PHONE:[\d ]+\]", got[1]).group()
+    token = re.search(r"\[PHONE:0044 [\d ]+\]", got[1]).group()
     assert token in got[2] and "960668" not in got[1] + got[2] and "a@b.example" not in got[2] and got[2].endswith("]!")
     assert got[1] == f"tel {token}, mornings" and got[3] is None and got[4] == "" and got[5] == rows[4][1]
     found = personal.find_personal(df.union(df), people).collect()
