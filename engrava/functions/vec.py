@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def _double(v) -> Column:
@@ -57,3 +60,26 @@ def margin_features(distances) -> Column:
     return F.struct(
         first.alias("f0"), (second / floor).alias("f1"), (second - first).alias("f2"), (mean / floor).alias("f3")
     )
+
+
+#: Offset basis and prime of the 64-bit FNV-1a hash.
+FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+@F.pandas_udf(LongType())
+def _fnv1a(vectors: pd.Series) -> pd.Series:
+    out = np.full(len(vectors), FNV_BASIS, np.uint64)
+    sizes = np.array([-1 if v is None else len(v) for v in vectors])
+    for size in np.unique(sizes[sizes >= 0]):
+        rows = np.flatnonzero(sizes == size)
+        data = np.array([np.asarray(vectors.iloc[i], "<f4") for i in rows]).reshape(len(rows), size).view(np.uint8)
+        hashed = out[rows]
+        for byte in data.T:
+            hashed = (hashed ^ byte) * np.uint64(FNV_PRIME)
+        out[rows] = hashed
+    return pd.Series(out.view(np.int64)).where(sizes >= 0)
+
+
+def fnv1a(v) -> Column:
+    """FNV-1a over the little-endian 32-bit floats of a vector, as a signed long; null for null."""
+    return _fnv1a(F.col(v) if isinstance(v, str) else v)

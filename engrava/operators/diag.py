@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engrava.functions.vec import dot, norm, total
+from engrava.session import materialize
 from engrava.operators.knn import query_blocks, squared, vectors_of
 
 
@@ -26,6 +27,14 @@ def coarse_miss(ranks: DataFrame, nprobes: list[int]) -> DataFrame:
     return ranks.select("true_cell_rank", grid).groupBy("nprobe").agg(F.avg((F.col("true_cell_rank") > F.col("nprobe")).cast("double")).alias("miss_rate"))
 
 
+def rank_stats(ranks: DataFrame) -> DataFrame:
+    """(mean_rank, p95_rank) of the true cell, counted from 0; the percentile is the value at index n * 95 / 100."""
+    # Counts per rank are summed up, so there is one row a cell and not one a query in the window.
+    counts = ranks.groupBy((F.col("true_cell_rank") - 1).alias("r")).agg(F.count("*").alias("n"))
+    up_to = counts.withColumn("until", F.sum("n").over(Window.orderBy("r"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return up_to.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("mean_rank"), F.min(F.when(F.col("until") > F.floor(F.col("total") * 95 / 100), F.col("r"))).cast("int").alias("p95_rank"))
+
+
 def parallel_split(errors: DataFrame, vec: str = "vec", error: str = "error") -> DataFrame:
     """Mean squared error along the vector and across it, and mean of the parallel share; zero errors have no share."""
     along = F.pow(dot(error, vec) / F.nullif(norm(vec), F.lit(0.0)), 2)
@@ -56,7 +65,13 @@ def decile_miss(rows: DataFrame, order: list[str], miss: str) -> DataFrame:
     n = rows.count()
     if n < 10:
         raise ValueError("deciles need at least ten rows")
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)  # one row a query
+    # Numbered by range partitions, so no single task sorts all rows.
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = materialize(parts.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "deciles")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranked = parts.join(offsets, "_part").withColumn("_r", F.col("_offset") + F.col("_at") - F.col("_first"))
     return ranked.groupBy(F.least(F.floor(F.col("_r") / (n // 10)), F.lit(9)).cast("int").alias("decile")).agg(F.count("*").alias("n"), F.avg(F.col(miss).cast("double")).alias("miss_rate"))
 
 

@@ -158,6 +158,19 @@ def gap_cut(ranked: DataFrame, gap: float) -> DataFrame:
     return ranked.withColumn("_cut", cut).withColumn("_seen", seen).filter("_seen = 0").drop("_cut", "_seen")
 
 
+def gap_scores(ranked: DataFrame, labels: DataFrame, query_labels: DataFrame, gap: float) -> DataFrame:
+    """(gap, precision, recall, f1) of the gap cut, averaged over queries; relevant are hits whose label ``hl`` is the query's ``ql``.
+
+    Recall is against the relevant hits before the cut; a query without any has recall 0.
+    """
+    judged = ranked.join(labels, "id").join(query_labels, "qid").withColumn("good", (F.col("hl") == F.col("ql")).cast("int"))
+    every = judged.groupBy("qid").agg(F.sum("good").alias("a"))
+    kept = gap_cut(judged, gap).groupBy("qid").agg(F.count("*").alias("n"), F.sum("good").alias("g")).join(every, "qid")
+    p, r = F.col("g") / F.col("n"), F.when(F.col("a") > 0, F.col("g") / F.col("a")).otherwise(F.lit(0.0))
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    return kept.agg(F.lit(float(gap)).alias("gap"), F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f1).alias("f1"))
+
+
 def duplicates_of(ranked: DataFrame, tau: float) -> DataFrame:
     """(qid, nearest, dist, is_duplicate): duplicate if strictly nearer than tau; tau 0 turns the rule off."""
     nearest_one = ranked.filter("rank = 1")

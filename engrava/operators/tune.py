@@ -100,7 +100,9 @@ def compile_tree(tree: tuple, columns: list[str]) -> Column:
         return F.lit(float(tree[1]))
     a, b = compile_tree(tree[1], columns), compile_tree(tree[2], columns)
     if tree[0] == "/":
-        return F.when(F.abs(b) < 1e-9, 1.0).otherwise(a / F.when(F.abs(b) < 1e-9, 1.0).otherwise(b))
+        # Bound once as an element, so that a nested division does not repeat its operand.
+        pair = F.array(F.struct(a.alias("a"), b.alias("b")))
+        return F.transform(pair, lambda x: F.when(F.abs(x["b"]) < 1e-9, 1.0).otherwise(x["a"] / x["b"]))[0]
     return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "min": lambda: F.least(a, b), "max": lambda: F.greatest(a, b)}[tree[0]]()
 
 
