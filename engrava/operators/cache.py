@@ -1,7 +1,10 @@
 """Replaying access streams through cache policies.
 
-A policy's state depends on every access before, so each stream is replayed in order. Rows
-stream through a task sorted by (tenant, seq); only the state of one tenant's caches is held.
+What an LRU cache holds are the items last accessed, so a stream can be cut anywhere: each
+chunk of bounded size starts from the most recent items before it, which are put together
+from short summaries of the chunks, and a tenant with much of the log spreads over many
+tasks. The state of the other policies depends on every access before; there rows stream
+through a task sorted by (tenant, seq), and only one tenant's caches are held.
 """
 
 from __future__ import annotations
@@ -12,6 +15,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from engrava.session import materialize
+
+#: Range of sequence numbers in one chunk; a sequence number is unique, so this bounds its rows.
+CHUNK = 100_000
 
 
 class Lru:
@@ -108,6 +117,69 @@ def _replay(policies: tuple[str, ...], capacities: tuple[int, ...]):
     return run
 
 
+def _starts(most: int):
+    """Per tenant: what an LRU of ``most`` items holds at the start of each chunk, oldest first."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        recent: OrderedDict = OrderedDict()
+        out = []
+        for chunk, part in frame.sort_values(["chunk", "last"]).groupby("chunk", sort=True):
+            out.append((frame["tenant"].iloc[0], chunk, list(recent)))
+            for item in part["item"].tolist():
+                recent[item] = True
+                recent.move_to_end(item)
+            while len(recent) > most:
+                recent.popitem(last=False)
+        return pd.DataFrame(out, columns=["tenant", "chunk", "recent"])
+
+    return run
+
+
+def _lru_chunks(capacities: tuple[int, ...]):
+    """Accesses and hits of chunks whose rows come in order, each starting from the items of its first row's ``recent``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, caches, hits, n = None, {}, {}, 0
+
+        def done():
+            return pd.DataFrame([(key[0], c, n, hits[c]) for c in capacities], columns=["tenant", "capacity", "accesses", "hits"])
+
+        for frame in frames:
+            for tenant, chunk, item, recent in zip(frame["tenant"].tolist(), frame["chunk"].tolist(), frame["item"].tolist(), frame["recent"], strict=True):
+                if (tenant, chunk) != key:
+                    if n:
+                        yield done()
+                    key, n, hits, caches = (tenant, chunk), 0, dict.fromkeys(capacities, 0), {c: Lru(c) for c in capacities}
+                    for held in recent if recent is not None else ():
+                        for cache in caches.values():
+                            cache.admit(held)
+                n += 1
+                for c, cache in caches.items():
+                    hits[c] += cache.access(item)
+        if n:
+            yield done()
+
+    return run
+
+
+def replay_lru(log: DataFrame, capacities: tuple[int, ...]) -> DataFrame:
+    """``replay`` of the LRU policy, chunk by chunk."""
+    most = max(capacities)
+    rows = log.filter("item_id is not null").select("tenant", "seq", F.col("item_id").alias("item")).dropDuplicates(["seq"])
+    rows = materialize(rows.withColumn("chunk", F.floor(F.col("seq") / CHUNK)), "accesses")
+    lasts = rows.groupBy("tenant", "chunk", "item").agg(F.max("seq").alias("last"))
+    newest = Window.partitionBy("tenant", "chunk").orderBy(F.desc("last"))
+    short = lasts.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= most).drop("_r")
+    starts = short.groupBy("tenant").applyInPandas(_starts(most), "tenant int, chunk long, recent array<long>")
+    first = rows.groupBy("tenant", "chunk").agg(F.min("seq").alias("seq"))
+    first = first.join(starts, ["tenant", "chunk"])  # only a chunk's first row carries the start
+    ordered = rows.join(first, ["tenant", "chunk", "seq"], "left").repartition("tenant", "chunk").sortWithinPartitions("tenant", "chunk", "seq")
+    counted = ordered.select("tenant", "chunk", "item", "recent").mapInPandas(_lru_chunks(tuple(capacities)), "tenant int, capacity int, accesses long, hits long")
+    sums = counted.groupBy("tenant", "capacity").agg(F.sum("accesses").alias("accesses"), F.sum("hits").alias("hits"))
+    none = F.lit(0).cast("long")
+    return sums.select("tenant", F.lit("lru").alias("policy"), "capacity", "accesses", "hits", none.alias("prefetches"), none.alias("loads"), (F.col("accesses") - F.col("hits")).alias("fetches"))
+
+
 def replay(log: DataFrame, capacities: tuple[int, ...], policies: tuple[str, ...] = ("lru", "lfu", "markov")) -> DataFrame:
     """(tenant, policy, capacity, accesses, hits, prefetches, loads, fetches) of each tenant's stream.
 
@@ -116,6 +188,9 @@ def replay(log: DataFrame, capacities: tuple[int, ...], policies: tuple[str, ...
     """
     if not capacities or min(capacities) < 1 or not set(policies) <= set(POLICIES):
         raise ValueError("need capacities of 1 or more and known policies")
+    if "lru" in policies:
+        lru, rest = replay_lru(log, capacities), tuple(p for p in policies if p != "lru")
+        return lru.unionByName(replay(log, capacities, rest)) if rest else lru
     rows = log.filter("item_id is not null").select("tenant", "seq", F.col("item_id").alias("item")).dropDuplicates(["seq"])
     ordered = rows.repartition("tenant").sortWithinPartitions("tenant", "seq")
     return ordered.mapInPandas(
@@ -123,6 +198,48 @@ def replay(log: DataFrame, capacities: tuple[int, ...], policies: tuple[str, ...
     )
 
 
+def tier(log: DataFrame, vectors: DataFrame, capacity: int) -> DataFrame:
+    """(tenant, item, vec): the exact vectors an LRU tier of each tenant holds after the log; items without a vector are left out.
+
+    ``vectors`` has (item, vec).
+    """
+    last = log.filter("item_id is not null").groupBy("tenant", F.col("item_id").alias("item")).agg(F.max("seq").alias("last"))
+    newest = Window.partitionBy("tenant").orderBy(F.desc("last"))
+    held = last.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= capacity)
+    return held.select("tenant", "item").join(vectors.select("item", "vec"), "item").select("tenant", "item", "vec")
+
+
+def tier_recall(accesses: DataFrame, capacity: int) -> DataFrame:
+    """(tenant, accesses, resident, hits, hits_resident, hits_missing): recall on a stream with an LRU tier in front of coded search.
+
+    ``accesses`` has (tenant, seq, item, coded): ``coded`` says whether coded search alone
+    returns the item. An item is resident if it was among the tenant's last ``capacity``
+    different ones before the access; a resident item is scored exactly and is always returned.
+    """
+    return _resident(accesses.select("tenant", "seq", F.col("item").alias("item_id"), "coded"), capacity)
+
+
+def _resident(rows: DataFrame, capacity: int) -> DataFrame:
+    marked = rows.select("tenant", "seq", "item_id", "coded").repartition("tenant").sortWithinPartitions("tenant", "seq")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenant, cache = None, None
+        for frame in frames:
+            inside = []
+            for t, item in zip(frame["tenant"].tolist(), frame["item_id"].tolist(), strict=True):
+                if t != tenant:
+                    tenant, cache = t, Lru(capacity)
+                inside.append(cache.access(item))
+            yield pd.DataFrame({"tenant": frame["tenant"], "coded": frame["coded"], "resident": inside})
+
+    held = marked.mapInPandas(run, "tenant int, coded boolean, resident boolean")
+    hit = F.col("coded") | F.col("resident")
+    return held.groupBy("tenant").agg(
+        F.count("*").alias("accesses"), F.count_if("resident").alias("resident"), F.count_if(hit).alias("hits"),
+        F.count_if(F.col("resident") & hit).alias("hits_resident"), F.count_if(~F.col("resident") & hit).alias("hits_missing"),
+    )
+
+
 def costs(replayed: DataFrame, hit_cost: float, miss_cost: float) -> DataFrame:
     """Per policy and capacity: hit rate, mean latency, fetched items an access, latency saved against LRU."""
     sums = replayed.groupBy("policy", "capacity").agg(F.sum("accesses").alias("accesses"), F.sum("hits").alias("hits"), F.sum("loads").alias("loads"))

@@ -249,6 +249,14 @@ SELECT seq, m.target FROM m JOIN b USING (target) WHERE tenant = 7 AND seq > 100
     "last_wins_state": _STATE + " SELECT * FROM s",
     "task_sweep": _SWEEP + " SELECT * FROM swept",
     "task_counts": _SWEEP + " SELECT state, count(*) AS n, CAST(sum(nudges) AS BIGINT) AS nudges FROM swept GROUP BY state",
+    "claim_replay": "WITH RECURSIVE" + _M[4:] + """, ow AS (SELECT tenant, seq AS task_seq, coalesce(sender, '') AS owner FROM k WHERE kd = 'task'),
+rq AS (SELECT k.tenant, ref_seq AS task_seq, k.seq, CASE kd WHEN 'result' THEN 'done' WHEN 'question' THEN 'overdue' ELSE 'claim' END AS action, coalesce(sender, '') AS who, owner, ts_ns, row_number() OVER (PARTITION BY k.tenant, ref_seq ORDER BY k.seq) AS i
+  FROM k JOIN ow ON ow.tenant = k.tenant AND ow.task_seq = k.ref_seq WHERE ref_seq <> 0),
+cl AS (SELECT DISTINCT tenant, task_seq, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, false AS granted, 'pending' AS state, CAST('' AS VARCHAR) AS holder, CAST(0 AS BIGINT) AS lease_until FROM rq
+UNION ALL SELECT tenant, task_seq, i, seq, fine, CASE WHEN NOT fine THEN state WHEN action = 'claim' THEN 'claimed' ELSE action END, CASE WHEN fine AND action = 'claim' THEN who ELSE holder END, CASE WHEN fine AND action = 'claim' THEN ts_ns + 86400000000000 ELSE lease_until END
+FROM (SELECT rq.tenant, rq.task_seq, rq.i, rq.seq, action, who, ts_ns, state, holder, lease_until, CASE action WHEN 'claim' THEN state = 'pending' OR (state IN ('claimed', 'overdue') AND (ts_ns > lease_until OR holder = who))
+  WHEN 'done' THEN state NOT IN ('done', 'cancel') AND who IN (holder, owner) AND who <> '' ELSE state IN ('pending', 'claimed') END AS fine FROM cl JOIN rq ON rq.tenant = cl.tenant AND rq.task_seq = cl.task_seq AND rq.i = cl.i + 1))
+SELECT tenant, task_seq, seq, granted, state, holder, lease_until FROM cl WHERE i > 0""",
     "presence_live": _M + """, b AS (SELECT tenant, sender AS agent, coalesce(area, '') AS area, kd AS status, ts_ns, seq FROM k WHERE sender IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tenant, sender ORDER BY seq DESC) = 1)
 SELECT b.* FROM b, now_ WHERE t - ts_ns <= 720000000000000""",
     "pin_keepset": _KEEP + " SELECT * FROM keep",
