@@ -58,17 +58,26 @@ ORACLES = {
     "p1_support": _CHAINS
     + """SELECT array_to_string(p, '>') AS pattern, CAST(len(p) AS INTEGER) AS n_items, support FROM
 (SELECT [item] AS p, support FROM c1 UNION ALL SELECT [a, b], support FROM c2 UNION ALL SELECT p, support FROM chains)""",
-    "p5_found": _UNIT + """,
-links AS (SELECT a.mem_id AS a, b.mem_id AS b FROM unit a JOIN unit b ON a.mem_id <> b.mem_id AND array_inner_product(a.u, b.u) >= 0.70),
-r1 AS (SELECT u.mem_id, least(u.mem_id, coalesce(min(b), u.mem_id)) AS c FROM unit u LEFT JOIN links ON a = u.mem_id GROUP BY u.mem_id),
-r2 AS (SELECT x.mem_id, least(x.c, coalesce(min(y.c), x.c)) AS c FROM r1 x LEFT JOIN links ON a = x.mem_id LEFT JOIN r1 y ON y.mem_id = b GROUP BY x.mem_id, x.c),
-r3 AS (SELECT x.mem_id, least(x.c, coalesce(min(y.c), x.c)) AS c FROM r2 x LEFT JOIN links ON a = x.mem_id LEFT JOIN r2 y ON y.mem_id = b GROUP BY x.mem_id, x.c),
-r4 AS (SELECT x.mem_id, least(x.c, coalesce(min(y.c), x.c)) AS c FROM r3 x LEFT JOIN links ON a = x.mem_id LEFT JOIN r3 y ON y.mem_id = b GROUP BY x.mem_id, x.c),
+    "p5_found": "\nWITH RECURSIVE" + _UNIT.strip()[4:] + """,
+links AS MATERIALIZED (SELECT a.mem_id AS a, b.mem_id AS b FROM unit a JOIN unit b ON a.mem_id <> b.mem_id AND array_inner_product(a.u, b.u) >= 0.70),
+reach AS (SELECT mem_id AS m, mem_id AS r FROM unit WHERE mem_id NOT IN (SELECT a FROM links WHERE b < a) UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.m),
+r4 AS (SELECT m AS mem_id, min(r) AS c FROM reach GROUP BY m),
 big AS (SELECT mem_id, c FROM r4 QUALIFY count(*) OVER (PARTITION BY c) >= 8),
 tags AS (SELECT DISTINCT mem_id, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS tag FROM (SELECT mem_id, unnest(tags) AS t FROM memories) WHERE trim(t) <> ''),
 top AS (SELECT c, tag FROM (SELECT c, tag, count(*) AS n FROM tags JOIN big USING (mem_id) GROUP BY c, tag) QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, tag) = 1)
 SELECT coalesce(tag, '') AS cluster_label, mem_id FROM big LEFT JOIN top USING (c)""",
     "p6_found": _SHINGLES,
+    "p6_groups": """
+WITH RECURSIVE m AS (SELECT mem_id, any_value(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM memories WHERE mem_id IS NOT NULL AND text IS NOT NULL GROUP BY mem_id),
+s AS (SELECT DISTINCT mem_id, array_to_string(w[k + 1:k + 5], ' ') AS g FROM (SELECT mem_id, w, unnest(range(greatest(len(w) - 4, 0))) AS k FROM m)),
+t AS (SELECT mem_id, string_agg(g, '|' ORDER BY g) AS key, count(*) AS n FROM s GROUP BY mem_id),
+cl AS (SELECT mem_id, n, min(mem_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) AS n_copies FROM t),
+rs AS (SELECT s.mem_id, g FROM s JOIN cl ON cl.mem_id = s.mem_id AND cl.class_id = cl.mem_id),
+cm AS (SELECT a.mem_id AS a, b.mem_id AS b, count(*) AS common FROM rs a JOIN rs b ON a.g = b.g AND a.mem_id < b.mem_id GROUP BY ALL),
+ln AS (SELECT a, b FROM cm JOIN t x ON x.mem_id = a JOIN t y ON y.mem_id = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+bo AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln), dg AS (SELECT a, count(*) AS n_links FROM bo GROUP BY a),
+reach AS (SELECT DISTINCT a AS m, a AS r FROM bo UNION SELECT bo.b, reach.r FROM reach JOIN bo ON bo.a = reach.m), gr AS (SELECT m, min(r) AS group_id FROM reach GROUP BY m)
+SELECT mem_id, class_id, n_copies, coalesce(n_links, 0) AS n_links, coalesce(group_id, class_id) AS group_id FROM cl LEFT JOIN dg ON dg.a = class_id LEFT JOIN gr ON gr.m = class_id""",
     "p7_found": _NEAREST + "SELECT DISTINCT least(id, neighbour) AS mem_id_a, greatest(id, neighbour) AS mem_id_b FROM best",
     "p7_neighbours": _NEAREST + "SELECT id AS mem_id, neighbour, round(cosine, 6) AS cosine FROM best",
     "p9_found": f"""
