@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engrava.session import materialize
+from engrava.session import materialize_observed, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,13 +32,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbourhood is gathered, so hubs are harmless. Rounds grow with the logarithm of the
     longest path.
     """
-    edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "cc")
+    # Edges are distinct, so their number and the sum of their hashes tell whether a round changed any.
+    marks = F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")
+    edges, before = materialize_observed(edges.select("src", "dst").filter("src <> dst").distinct(), "cc", *marks)
     while True:
-        step = materialize(_star(_star(edges, True), False), "cc")
-        same = step.exceptAll(edges).isEmpty() and edges.exceptAll(step).isEmpty()
+        step, now = materialize_observed(_star(_star(edges, True), False), "cc", *marks)
+        release(edges)
         edges = step
-        if same:
+        if now == before:
             break
+        before = now
     nodes = edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     roots = edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return nodes.union(roots)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_SHARED = f"file:///tmp/engrava-{uuid.uuid4().hex[:12]}"
 _written: list[tuple[SparkSession, str]] = []
@@ -45,13 +45,35 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write ``df`` to a table in the shared folder and read it back.
 
-    The table outlives any executor. It is removed when the Python process ends.
+    The table outlives any executor. It is removed by ``release``, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._engrava_path = path
+    return out
+
+
+def materialize_observed(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, with aggregates over the rows taken while they are written, so that a loop needs one job a round."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    return materialize(df.observe(seen, *measures), name), seen.get
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a materialized frame that nothing reads any more."""
+    path = df._engrava_path
+    for spark, other in list(_written):
+        if other == path:
+            _written.remove((spark, other))
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes a shuffle partition should hold.
@@ -77,9 +99,7 @@ def release_materialized() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             pass
 
