@@ -10,8 +10,11 @@ passage occur in the document, also the rarest. Edited copies are found by count
 alignment with m equal words and e edits scores at least ``share`` of an item of n words
 only if m - e >= share * n, and its equal words stand in at most e + 1 runs, so at least
 ceil(share * n) - 1 of the item's word pairs stand in the document, whatever else is in the
-corpus. Where that bound is 0, single words count. Items are matched in blocks of at most
-``block_grams`` n-grams, so what is broadcast is bounded however many items there are.
+corpus. Where that bound is 0, single words count. Up to ``block_grams`` n-grams of items are
+broadcast. More are joined by a shuffle: the corpus is read a fixed number of times
+however many items there are, its n-grams are thinned by a bitmap of fixed size first, and only an item's rarest word
+pairs look for candidates, enough of them that a copy must hold one (prefix filter); the
+candidates' pairs are then counted next to the texts.
 
 Null ids are left out, null or empty texts match nothing, repeated ids count once per
 pair, other columns are ignored.
@@ -33,6 +36,8 @@ from engrava.session import materialize
 
 MATCH, MISMATCH, GAP = 2, -2, -2
 _PAIRS = 64
+#: Buckets of the bitmap that thins the corpus's n-grams (binary logarithm).
+BITMAP_BITS = 24
 #: (document, item) counters and postings a task holds at once.
 _CELLS = 1 << 22
 
@@ -208,6 +213,91 @@ def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return best, longest
 
 
+def _bitmap(bits: int):
+    """Which buckets of a bitmap the n-grams of a task fall into."""
+    schema = pa.schema([("bucket", pa.int64())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in stream:
+            seen[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+        yield from batches(schema, np.flatnonzero(seen))
+
+    return run
+
+
+def _thinned(n_of: tuple[int, ...], bitmap, bits: int):
+    """(doc_id, at, gram) of the n-grams whose bucket is set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("gram", pa.int64())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
+        for batch in stream:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
+            for lo, hi in k.chunks(texts):
+                words = k.Words(texts[lo:hi])
+                for n in n_of:
+                    grams, at = words.grams(n)
+                    hit = np.flatnonzero(near[grams >> np.uint64(64 - bits)])
+                    doc = words.text[at[hit]]
+                    yield from batches(schema, ids[lo:hi][doc], (at[hit] - words.first[doc]).astype(np.int32), signed(grams[hit]))
+
+    return run
+
+
+def _found_in(docs: DataFrame, wanted: DataFrame, n_of: tuple[int, ...]) -> DataFrame:
+    """(doc_id, at, gram): where the n-grams ``wanted`` (gram) stand, by a shuffle on the n-gram."""
+    spark = docs.sparkSession
+    seen = np.zeros(1 << BITMAP_BITS, bool)
+    buckets = wanted.select("gram").mapInArrow(_bitmap(BITMAP_BITS), "bucket long").distinct()
+    seen[buckets.toArrow().column(0).to_numpy()] = True  # at most 2**BITMAP_BITS lines
+    bitmap = spark.sparkContext.broadcast(np.packbits(seen).tobytes())
+    thin = docs.mapInArrow(_thinned(n_of, bitmap, BITMAP_BITS), "doc_id long, at int, gram long")
+    return thin.join(wanted.select("gram").distinct(), "gram", "left_semi").select("doc_id", "at", "gram")
+
+
+def _counted(share: float):
+    """Of candidate pairs (doc_id, item_id, text, item_text) those whose document holds enough of the item's word pairs, with where they stand."""
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            docs, items = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts, item_texts = texts_of(batch.column(2)), texts_of(batch.column(3))
+            for lo, hi in k.chunks(texts):
+                words, given, out = k.Words(texts[lo:hi]), k.Words(item_texts[lo:hi]), []
+                need = _needed(share, np.diff(given.first))
+                for size in (1, 2):
+                    (grams, at), (mine, of) = words.grams(size), given.grams(size)
+                    doc, item = words.text[at], given.text[of]
+                    for i in np.flatnonzero((need == 1) == (size == 1)):
+                        a, b = np.searchsorted(doc, [i, i + 1])
+                        x, y = np.searchsorted(item, [i, i + 1])
+                        held = np.isin(mine[x:y], grams[a:b]).sum()
+                        if held and held >= need[i] - (size == 2):
+                            place = at[a:b][np.isin(grams[a:b], mine[x:y])] - words.first[i]
+                            out.append((docs[lo + i], items[lo + i], place.min(), place.max()))
+                if out:
+                    yield from batches(schema, *([r[c] for r in out] for c in range(4)))
+
+    return run
+
+
+def _shuffled_copies(docs: DataFrame, items: DataFrame, item_keys: DataFrame, share: float) -> DataFrame:
+    """(doc_id, item_id, low, high) of the documents that hold enough of an item's word pairs, however many items there are."""
+    hits = _found_in(docs, item_keys, (1, 2) if not item_keys.filter("single").isEmpty() else (2,)).select("doc_id", "gram").distinct()
+    hits = materialize(hits, "pair-hits")
+    frequency = hits.groupBy("gram").agg(F.count("*").alias("df"))
+    # Pairs not in the corpus come first: they are the rarest. Of `all` occurrences, any `all - need + 1` hold one a copy has.
+    by_rarity = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    ranked = item_keys.join(frequency, "gram", "left").withColumn("before", F.sum("times").over(by_rarity) - F.col("times"))
+    ranked = ranked.withColumn("all", F.sum("times").over(Window.partitionBy("item_id")))
+    prefix = ranked.filter((F.col("before") <= F.col("all") - F.col("need")) & F.col("df").isNotNull()).select("item_id", "gram")
+    pairs = hits.join(prefix, "gram").select("doc_id", "item_id").distinct()
+    both = pairs.join(docs.dropDuplicates(["doc_id"]), "doc_id").join(items.dropDuplicates(["item_id"]).withColumnRenamed("text", "item_text"), "item_id")
+    return both.select("doc_id", "item_id", "text", "item_text").mapInArrow(_counted(share), "doc_id long, item_id long, low int, high int")
+
+
 def _aligned(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("longest_run", pa.int32()), ("item_words", pa.int32())])
     for batch in stream:
@@ -257,18 +347,16 @@ def leaks(
     docs, items = _id_text(docs, doc_id, doc_text, "doc_id"), _id_text(items, item_id, item_text, "item_id")
     item_grams = materialize(items.mapInArrow(_gram_rows(gram), "id long, pos int, gram long").withColumnRenamed("id", "item_id"), "item-grams")
     n_grams = item_grams.select("gram").distinct().count()
-    held = None
-    blocks = max(1, -(-n_grams // block_grams))
-    for b in range(blocks):
-        part = item_grams.select("gram").distinct().filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
-        known = part.toPandas()["gram"].to_numpy(np.int64)
+    many = n_grams > block_grams
+    if many:
+        hits, held = materialize(_found_in(docs, item_grams, (gram,)), "hits"), None
+    else:
+        known = item_grams.select("gram").distinct().toPandas()["gram"].to_numpy(np.int64)
         if not len(known):
             known = np.zeros(1, np.int64)
         wanted = spark.sparkContext.broadcast(np.sort(known.view(np.uint64)).view(np.int64))
-        found = docs.mapInArrow(_holders(gram, wanted), "doc_id long, text string, at array<int>, gram array<long>")
-        held = found if held is None else held.unionByName(found)
-    held = materialize(held, "holders")
-    hits = held.select("doc_id", F.explode(F.arrays_zip("at", "gram")).alias("h")).select("doc_id", "h.at", "h.gram")
+        held = materialize(docs.mapInArrow(_holders(gram, wanted), "doc_id long, text string, at array<int>, gram array<long>"), "holders")
+        hits = held.select("doc_id", F.explode(F.arrays_zip("at", "gram")).alias("h")).select("doc_id", "h.at", "h.gram")
     frequency = hits.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
     near = Window.partitionBy("item_id").orderBy("pos").rangeBetween(0, passage - gram)
     seeds = (
@@ -280,19 +368,19 @@ def leaks(
     item_keys = materialize(
         items.dropDuplicates(["item_id"]).mapInArrow(_item_keys(share), "item_id long, gram long, times int, need int, single boolean"), "item-keys"
     )
-    copies = None
-    blocks = max(1, -(-item_keys.count() // block_grams))
-    for b in range(blocks):
-        keys = item_keys.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()
-        if len(keys):
-            found = docs.mapInArrow(_copies(spark.sparkContext.broadcast(_model(keys))), "doc_id long, text string, item_id array<long>, low array<int>, high array<int>")
-            copies = found if copies is None else copies.unionByName(found)
     pairs = hits.join(seeds, "gram").select("doc_id", "item_id", F.col("at").alias("low"), F.col("at").alias("high"))
-    texts = held.select("doc_id", "text")
-    if copies is not None:
-        copies = materialize(copies, "copies")
-        pairs = pairs.union(copies.select("doc_id", F.explode(F.arrays_zip("item_id", "low", "high")).alias("c")).select("doc_id", "c.item_id", "c.low", "c.high"))
-        texts = texts.union(copies.select("doc_id", "text"))
+    if many or item_keys.count() > block_grams:
+        pairs = pairs.union(_shuffled_copies(docs, items, item_keys, share).select("doc_id", "item_id", "low", "high"))
+        pairs = materialize(pairs, "candidates")
+        texts = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    else:
+        texts = held.select("doc_id", "text")
+        keys = item_keys.toPandas()
+        if len(keys):
+            copies = docs.mapInArrow(_copies(spark.sparkContext.broadcast(_model(keys))), "doc_id long, text string, item_id array<long>, low array<int>, high array<int>")
+            copies = materialize(copies, "copies")
+            pairs = pairs.union(copies.select("doc_id", F.explode(F.arrays_zip("item_id", "low", "high")).alias("c")).select("doc_id", "c.item_id", "c.low", "c.high"))
+            texts = texts.union(copies.select("doc_id", "text"))
     pairs = pairs.groupBy("doc_id", "item_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     texts = texts.dropDuplicates(["doc_id"])
     item_texts = items.dropDuplicates(["item_id"]).withColumnRenamed("text", "item_text")
