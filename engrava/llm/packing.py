@@ -54,8 +54,8 @@ class SquarePacker:
             raise ValueError("capacity must be positive")
         self.capacity = capacity
         self.count = np.zeros(capacity + 1, np.int64)
-        self.bins: dict[int, list[int]] = {}
-        self.fill: list[int] = []
+        self.bins: dict[int, list[int]] = {}  # the open containers by level; full ones are forgotten
+        self.opened = 0
 
     def place(self, size: int) -> int:
         if not 0 < size <= self.capacity:
@@ -76,9 +76,8 @@ class SquarePacker:
             self.count[level] -= 1
             at = self.bins[level].pop()
         else:
-            at = len(self.fill)
-            self.fill.append(0)
-        self.fill[at] = level + size
+            at = self.opened
+            self.opened += 1
         if level + size < self.capacity:
             self.count[level + size] += 1
             self.bins.setdefault(level + size, []).append(at)

@@ -243,18 +243,18 @@ def test_packing_keeps_every_token_once_and_wastes_little(spark):
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=60))
 def test_packer_follows_the_sum_of_squares(sizes):
-    packer, counts = packing.SquarePacker(12), [0] * 13
+    packer, counts, fill = packing.SquarePacker(12), [0] * 13, {}
     for s in sizes:
-        before = list(packer.fill)
         at = packer.place(s)
-        level = before[at] if at < len(before) else 0
+        level = fill.get(at, 0)
+        fill[at] = level + s
         cost = lambda h: (0 if h == 0 else (counts[h] - 1) ** 2 - counts[h] ** 2) + (0 if h + s == 12 else (counts[h + s] + 1) ** 2 - counts[h + s] ** 2)  # noqa: B023,E731
         assert cost(level) == min(cost(h) for h in range(13 - s) if h == 0 or counts[h])
         if level:
             counts[level] -= 1
         if level + s < 12:
             counts[level + s] += 1
-    assert sum(packer.fill) == sum(sizes) and max(packer.fill) <= 12
+    assert sum(fill.values()) == sum(sizes) and max(fill.values()) <= 12 and packer.opened == len(fill)
 
 
 NAMES = personal.Names([("  Raenua", "BODAUHE "), ("Leller", "Gallless"), (None, None)])
