@@ -93,6 +93,21 @@ def refinement_recall(distances: DataFrame, truth: DataFrame, hot: Column, chanc
     return hit.groupBy("variant", "r").agg((F.count_if(F.col("place") <= F.col("r")) / F.lit(max(n, 1))).alias("recall"))
 
 
+def low_rank_vectors(spark, n: int, dim: int, rank: int, noise: float = 0.05, seed: int = 1) -> DataFrame:
+    """(vec_id, embedding): unit vectors W z + noise; W and z are drawn uniformly from [-1, 1) by digests, so any part of them can be made anywhere."""
+    draw = lambda *parts: 2 * uniform(*(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)) - 1
+    z = F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), lambda r: draw("z", seed, F.col("vec_id"), r))
+    rows = spark.range(n).withColumnRenamed("id", "vec_id").withColumn("_z", z)
+
+    def component(d):
+        sums = F.aggregate(F.transform("_z", lambda v, r: v * draw("w", seed, d, r)), F.lit(0.0), lambda acc, x: acc + x)
+        return sums + noise * draw("e", seed, F.col("vec_id"), d)
+
+    raw = rows.withColumn("_x", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), component))
+    size = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda acc, x: acc + x * x))
+    return raw.withColumn("_n", size).select("vec_id", F.transform("_x", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)).alias("embedding"))
+
+
 def query_proxy(nprobe: Column, rerank: Column, dim: int, n: int, nlist: int) -> Column:
     """Operations of one query: codes scanned, and exact distances."""
     return (F.lit(float(n)) * nprobe / F.lit(nlist) + rerank * (2.0 * dim)).cast("double")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,35 +57,113 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("whole", damaged.cast("boolean")).filter("whole").select("seq", "ts_ns", "type", "tenant", F.decode("payload", "UTF-8").alias("payload"))
 
 
-def _vectors(kind: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                data, at, rows = bytes(content), 0, []
-                while at + 4 <= len(data):
-                    (dim,) = struct.unpack_from("<i", data, at)
-                    if dim <= 0 or at + 4 + 4 * dim > len(data):
+#: Bytes of a vector file one task reads at once.
+RANGE_BYTES = 32 << 20
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return system.open_input_file(where)
+
+
+def _uri(path: str) -> str:
+    """'file:/x' as Spark writes it, in the form all file systems read."""
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _ranges(kind: str, dtype: pa.DataType):
+    schema = pa.schema([("path", pa.string()), ("pos", pa.int64()), ("vec", pa.list_(dtype))])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for path, length, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not length:
+                    continue
+                with _open(_uri(path)) as file:
+                    (dim,) = struct.unpack("<i", file.read(4)) if length >= 4 else (0,)
+                    size = 4 + 4 * dim
+                    if dim <= 0 or length % size:
                         raise ValueError(f"damaged vector file {path}")
-                    rows.append((path, len(rows), np.frombuffer(data, kind, dim, at + 4)))
-                    at += 4 + 4 * dim
-                    if len(rows) % 10_000 == 0:
-                        yield pd.DataFrame(rows[-10_000:], columns=["path", "pos", "vec"])
-                tail = rows[len(rows) // 10_000 * 10_000 :]
-                if tail:
-                    yield pd.DataFrame(tail, columns=["path", "pos", "vec"])
+                    first, last = -(-start // size), -(-min(end, length) // size)  # records that begin in the range
+                    if last <= first:
+                        continue
+                    file.seek(first * size)
+                    raw = np.frombuffer(file.read((last - first) * size), "<i4").reshape(-1, dim + 1)
+                if (raw[:, 0] != dim).any():
+                    raise ValueError(f"damaged vector file {path}")
+                values = np.ascontiguousarray(raw[:, 1:]).view(kind)
+                for lo in range(0, len(values), 10_000):
+                    part = values[lo : lo + 10_000]
+                    vec = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel(), dtype), dim).cast(pa.list_(dtype))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(first + lo, first + lo + len(part))), vec], schema=schema)
 
     return run
 
 
+def _read_vecs(spark: SparkSession, path: str, kind: str, dtype: pa.DataType, element: str) -> DataFrame:
+    """Files are cut into byte ranges, so one file of any size spreads over tasks and none is held whole."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the content is not read
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long")))
+    ranges = files.select("path", "length", starts.alias("start")).withColumn("end", F.col("start") + RANGE_BYTES)
+    spread = ranges.repartition(max(1, min(ranges.count(), 100_000)), "path", "start")
+    return spread.mapInArrow(_ranges(kind, dtype), f"path string, pos long, vec array<{element}>")
+
+
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, vec array<float>) of files of (dimension, floats) records."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_vectors("<f4"), "path string, pos long, vec array<float>")
+    """(path, pos, vec array<float>) of files of (dimension, floats) records, all of one dimension in a file."""
+    return _read_vecs(spark, path, "<f4", pa.float32(), "float")
 
 
 def read_ivecs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, vec array<int>) of files of (dimension, integers) records."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_vectors("<i4"), "path string, pos long, vec array<int>")
+    """(path, pos, vec array<int>) of files of (dimension, integers) records, all of one dimension in a file."""
+    return _read_vecs(spark, path, "<i4", pa.int32(), "int")
 
 
 def encode_vecs(vectors, kind: str = "<f4") -> bytes:
     return b"".join(struct.pack("<i", len(v)) + np.asarray(v, kind).tobytes() for v in vectors)
+
+
+def _writer(folder: str, suffix: str, encode):
+    schema = pa.schema([("path", pa.string()), ("n", pa.int64())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        context, n, out = TaskContext.get(), 0, None
+        system, where = fs.FileSystem.from_uri(folder)
+        name = f"{where}/part-{context.partitionId():05d}"
+        try:
+            for batch in stream:
+                if out is None:  # a retried task writes under a name of its own and moves it at the end
+                    system.create_dir(where, recursive=True)
+                    out = system.open_output_stream(f"{name}.{context.taskAttemptId()}.tmp")
+                out.write(encode(batch))
+                n += batch.num_rows
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            system.move(f"{name}.{context.taskAttemptId()}.tmp", f"{name}.{suffix}")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.{suffix}"]), pa.array([n])], schema=schema)
+
+    return run
+
+
+def _write(df: DataFrame, folder: str, suffix: str, encode) -> int:
+    rows = df.mapInArrow(_writer(_uri(folder), suffix, encode), "path string, n long")
+    return rows.agg(F.sum("n")).first()[0] or 0
+
+
+def write_vecs(df: DataFrame, folder: str, vec_col: str = "vec", kind: str = "<f4") -> int:
+    """One file a task of (dimension, numbers) records; gives the number of vectors. Null vectors are left out."""
+    encode = lambda batch: encode_vecs((v for v in batch.column(0).to_pylist()), kind)
+    return _write(df.filter(F.col(vec_col).isNotNull()).select(vec_col), folder, "fvecs" if kind == "<f4" else "ivecs", encode)
+
+
+def write_segments(df: DataFrame, folder: str) -> int:
+    """One segment a task of (seq, ts_ns, type, tenant, payload) records as frames, in the order of the rows."""
+    columns = df.select("seq", "ts_ns", F.col("type").cast("int"), F.col("tenant").cast("int"), F.encode("payload", "UTF-8"))
+    return _write(columns, folder, "seg", lambda batch: b"".join(encode_frame(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)))
