@@ -136,28 +136,32 @@ def _starts(most: int):
 
 
 def _lru_chunks(capacities: tuple[int, ...]):
-    """Accesses and hits of chunks whose rows come in order, each starting from the items of its first row's ``recent``."""
+    """Accesses and hits of chunks whose rows come in order; a chunk's first row (seq -1) holds the items it starts from."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, caches, hits, n = None, {}, {}, 0
-
-        def done():
-            return pd.DataFrame([(key[0], c, n, hits[c]) for c in capacities], columns=["tenant", "capacity", "accesses", "hits"])
-
+        key, caches, hits, n = None, [], [0] * len(capacities), 0
+        out: list = []
         for frame in frames:
-            for tenant, chunk, item, recent in zip(frame["tenant"].tolist(), frame["chunk"].tolist(), frame["item"].tolist(), frame["recent"], strict=True):
-                if (tenant, chunk) != key:
-                    if n:
-                        yield done()
-                    key, n, hits, caches = (tenant, chunk), 0, dict.fromkeys(capacities, 0), {c: Lru(c) for c in capacities}
-                    for held in recent if recent is not None else ():
-                        for cache in caches.values():
-                            cache.admit(held)
-                n += 1
-                for c, cache in caches.items():
-                    hits[c] += cache.access(item)
-        if n:
-            yield done()
+            starts = (frame["seq"] < 0).to_numpy().nonzero()[0].tolist()
+            items, at = frame["item"].tolist(), 0
+            for start in [*starts, len(items)]:
+                for i, cache in enumerate(caches):
+                    access = cache.access
+                    hits[i] += sum(map(access, items[at:start]))
+                n += start - at
+                if start == len(items):
+                    break
+                out += [(key, c, n, h) for c, h in zip(capacities, hits, strict=True)] if n else []
+                key, n, hits, caches, at = frame["tenant"].iloc[start], 0, [0] * len(capacities), [Lru(c) for c in capacities], start + 1
+                for held in frame["recent"].iloc[start]:
+                    for cache in caches:
+                        cache.admit(held)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["tenant", "capacity", "accesses", "hits"])
+                out = []
+        out += [(key, c, n, h) for c, h in zip(capacities, hits, strict=True)] if n else []
+        if out:
+            yield pd.DataFrame(out, columns=["tenant", "capacity", "accesses", "hits"])
 
     return run
 
@@ -171,10 +175,11 @@ def replay_lru(log: DataFrame, capacities: tuple[int, ...]) -> DataFrame:
     newest = Window.partitionBy("tenant", "chunk").orderBy(F.desc("last"))
     short = lasts.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= most).drop("_r")
     starts = short.groupBy("tenant").applyInPandas(_starts(most), "tenant int, chunk long, recent array<long>")
-    first = rows.groupBy("tenant", "chunk").agg(F.min("seq").alias("seq"))
-    first = first.join(starts, ["tenant", "chunk"])  # only a chunk's first row carries the start
-    ordered = rows.join(first, ["tenant", "chunk", "seq"], "left").repartition("tenant", "chunk").sortWithinPartitions("tenant", "chunk", "seq")
-    counted = ordered.select("tenant", "chunk", "item", "recent").mapInPandas(_lru_chunks(tuple(capacities)), "tenant int, capacity int, accesses long, hits long")
+    # A chunk's start goes as a row of its own before the chunk's rows.
+    led = starts.select("tenant", "chunk", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("item"), "recent")
+    every = rows.select("tenant", "chunk", "seq", F.col("item").cast("long").alias("item"), F.lit(None).cast("array<long>").alias("recent")).unionByName(led)
+    ordered = every.repartition("tenant", "chunk").sortWithinPartitions("tenant", "chunk", "seq").select("tenant", "seq", "item", "recent")
+    counted = ordered.mapInPandas(_lru_chunks(tuple(capacities)), "tenant int, capacity int, accesses long, hits long")
     sums = counted.groupBy("tenant", "capacity").agg(F.sum("accesses").alias("accesses"), F.sum("hits").alias("hits"))
     none = F.lit(0).cast("long")
     return sums.select("tenant", F.lit("lru").alias("policy"), "capacity", "accesses", "hits", none.alias("prefetches"), none.alias("loads"), (F.col("accesses") - F.col("hits")).alias("fetches"))
