@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,37 @@ def test_markov_flow_separates_two_cliques_with_a_thin_bridge(spark):
         assert (r.i < 10) == (r.j < 10)
         total[r.j] = total.get(r.j, 0) + r.v
     assert len(total) == 12 and all(abs(t - 1) < 1e-6 for t in total.values())
+
+
+def test_blocks_compare_only_what_may_be_linked(monkeypatch):
+    rng = np.random.default_rng(5)
+    noise = rng.normal(size=(3000, 64)).astype(np.float32)
+    x = np.concatenate([noise, noise[:40] + 0.3 * rng.normal(size=(40, 64)).astype(np.float32), noise[:1], noise[:1]])
+    frame = pd.DataFrame({"part": -1, "label": np.arange(len(x)) * 7, "angle": np.float32(0), "asks": True, "stands": True, "vec": [v.tobytes() for v in x]})
+    tiles, exact = [], clusters._linked
+    monkeypatch.setattr(clusters, "_linked", lambda close, *rest: tiles.append(close.shape) or exact(close, *rest))
+    out = clusters._joins(0.70, 64, 2)(frame)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cosine = np.where(np.eye(len(x), dtype=bool), -1, u @ u.T)
+    forest = out[out["cosine"].isna()]
+    root = connected(x)
+    merged = np.arange(len(x))
+    clusters.join_roots(merged, forest["src"].to_numpy() // 7, forest["dst"].to_numpy() // 7)
+    assert (merged == root).all() and len(forest) == len(x) - len(np.unique(root))
+    wanted = {(i * 7, j * 7) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -cosine[i].astype(np.float32)))[:2].tolist() if cosine[i, j] >= 0.70}
+    near = out[out["cosine"].notna()]
+    assert set(zip(near["src"], near["dst"], strict=True)) == wanted
+    assert len(tiles) < 6  # of the 9 tiles of 1,024 by 1,024, those with a link
+    tiles.clear()
+    asks = np.arange(len(x)) < 1500
+    apart = frame.assign(part=0, asks=asks, stands=~asks, angle=np.where(asks, 1.2, 0.5).astype(np.float32))
+    assert len(clusters._joins(0.70, 64, 0)(apart)) == 0 and not tiles  # no partner within reach
+
+
+def test_bands_of_partners_share_blocks_and_meet_their_askers(monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 10)
+    asking = [(0, 30, 4), (0, 50, 25), (1, 90, 3)]
+    standing = [(0, 60, 2), (0, 55, 3), (0, 40, 27), (0, 31, 1), (1, 80, 5)]
+    got = sorted(clusters._blocks(asking, standing))
+    assert [(p, b, s, a, top) for p, b, _, s, a, top in got] == [(0, 31, 1, 1, 31), (0, 40, 3, 1, 40), (0, 55, 1, 3, 60), (0, 60, 1, 3, 60)]
+    assert len({k for _, _, k, *_ in got}) == 3
