@@ -249,6 +249,23 @@ def test_markov_flow_separates_two_cliques_with_a_thin_bridge(spark):
     assert len(total) == 12 and all(abs(t - 1) < 1e-6 for t in total.values())
 
 
+def test_found_clusters_run_no_stage_that_changes_nothing(spark, monkeypatch, tmp_path):
+    from engrava.llm import queries
+
+    x = clustered(8, [50, 20, 10, 3], noise=0.6).astype(np.float32)
+    rows = [(i, v.tolist(), ["t"]) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "mem_id long, vec array<float>, tags array<string>").write.parquet(f"{tmp_path}/memories.parquet")
+
+    def unwanted(*_, **__):
+        raise AssertionError("without effect on p5_found")
+
+    monkeypatch.setattr(clusters, "markov_flow", unwanted)
+    monkeypatch.setattr(clusters, "nearest_neighbours", unwanted, raising=False)
+    got = sorted((r.cluster_label, r.mem_id) for r in queries.p5_found(spark, str(tmp_path)).collect())
+    root = connected(x)
+    assert got == [("t", i) for i in range(len(x)) if (root == root[i]).sum() >= 8] and len(got) == 80
+
+
 def test_blocks_compare_only_what_may_be_linked(monkeypatch):
     rng = np.random.default_rng(5)
     noise = rng.normal(size=(3000, 64)).astype(np.float32)
